@@ -1,0 +1 @@
+"""Readers that return accepted and rejected rows, and writers."""
