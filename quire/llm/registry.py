@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe
+from quire.llm import bpe, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op8_packing": packing.op8_packing,
 }
 
 SQL: dict[str, str] = {}
