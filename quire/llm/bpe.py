@@ -12,16 +12,16 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import read_table
+from quire.llm.shared import batches, pieces, read_table
 
 # Words kept per Python worker; when full, the table starts anew. It bounds memory, not results.
 KEPT_WORDS = 200_000
@@ -44,7 +44,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder(dict):
-    """Ids of words by their text; encodes a word when it is first asked for."""
+    """Ids of words, as bytes of 32-bit integers; encodes a word when it is first asked for."""
 
     # fixed value: the published pattern that splits text before merging
     PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -63,11 +63,10 @@ class Encoder(dict):
         merges = (m if isinstance(m, list) else m.split(" ") for m in stated["model"]["merges"])
         self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
         self.split = regex.compile(self.PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         data = word.encode("utf-8")
-        ids = self.merge(data)
+        ids = np.array(self.merge(data), "<i4").tobytes()
         if len(data) <= KEPT_BYTES:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -98,64 +97,98 @@ class Encoder(dict):
                     heapq.heappush(queue, (found[0], a, symbol[a], symbol[b]))
         return [s for s in symbol if s >= 0]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text; a special token's own string becomes its id."""
-        if not text:
-            return np.zeros(0, np.int32)
-        parts = self.cut(text) if any(s in text for s in self.special) else [text]
-        return np.fromiter(chain.from_iterable(chain.from_iterable(
-            [[self.special[p]]] if p in self.special else map(self.__getitem__, self.split(p))
-            for p in parts)), dtype=np.int32)
+    def run_ids(self, run: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(run)))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.strings.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+# fixed value: the white space of the published pattern
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class Runs(dict):
+    """Ids of a run of visible characters with the blank before it, as bytes. Such a run never
+    shares a token with the next one, so its ids can be kept whole."""
+
+    def __init__(self, run_ids: Callable[[str], bytes], special: dict[str, int]):
+        super().__init__()
+        self.run_ids, self.special = run_ids, special
+        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split
+        self.runs = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}]|\\Z)|[{WHITE}]").findall
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.run_ids(run)
+        if len(run) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[run] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a text; a special token's own string becomes its id."""
+        if not text:
+            return b""
+        if not any(s in text for s in self.special):
+            return b"".join(map(self.__getitem__, self.runs(text)))
+        return b"".join(
+            self.special[p].to_bytes(4, "little") if p in self.special
+            else b"".join(map(self.__getitem__, self.runs(p))) for p in self.cut(text))
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary."""
     return Encoder(path)
 
 
-def encode(text: str, vocabulary: str) -> Column:
-    """Ids of a text column as ``array<int>``."""
+@functools.lru_cache(maxsize=2)
+def merged_runs(path: str) -> Runs:
+    own = encoder(path)
+    return Runs(own.run_ids, own.special)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(vocabulary)
-        for series in texts:
-            yield pd.Series([own.encode(t) for t in series], dtype=object)
 
-    return ids_of(text)
+def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, ids`` of every document, each text whole.
 
+    Texts travel to Python in Arrow batches and ids travel back, a few megabytes at a time;
+    nothing is shuffled. An empty table gives an empty result, repeated rows give repeated
+    results, other columns are ignored.
+    """
+    vocabulary = vocabulary or default_vocabulary()
 
-def decode(ids: str, vocabulary: str) -> Column:
-    """Text of an id column; bytes that are no UTF-8 become the replacement character."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = merged_runs(vocabulary)
+        for whole in rows:
+            for batch in pieces(whole):
+                found = [own.encode(t) for t in batch.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32) // 4
+                yield batches({"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))})
 
-    @F.pandas_udf("string")
-    def text_of(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(vocabulary)
-        for series in rows:
-            yield pd.Series(["" if r is None else own.decode(np.asarray(r)) for r in series], dtype=object)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
-    return text_of(ids)
 
+def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, ids, decoded``; null ids give an empty text, and bytes that are no UTF-8 the
+    replacement character."""
+    vocabulary = vocabulary or default_vocabulary()
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, ids, decoded`` of every document, each text whole.
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary)
+        for whole in rows:
+            for batch in pieces(whole, "ids"):
+                texts = ["" if r.values is None else own.decode(r.values.to_numpy())
+                         for r in batch.column("ids")]
+                yield batches({"doc_id": batch.column("doc_id"), "ids": batch.column("ids"),
+                               "decoded": pa.array(texts, pa.string())})
 
-    Texts travel to Python in Arrow batches and ids travel back; nothing is shuffled. An empty
-    table gives an empty result, repeated rows give repeated results, other columns are ignored.
-    """
-    vocabulary = vocabulary or default_vocabulary()
-    return (
-        docs.select("doc_id", encode("text", vocabulary).alias("ids"))
-        .withColumn("decoded", decode("ids", vocabulary))
-    )
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    rows = encode_documents(read_table(spark, folder, "documents"))
+    rows = decode_documents(encode_documents(read_table(spark, folder, "documents")))
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select(
         "doc_id",

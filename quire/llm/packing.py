@@ -15,7 +15,6 @@ has the closing id. An empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,52 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import KEPT_BYTES, KEPT_WORDS, Encoder, default_vocabulary
+from quire.llm.bpe import Encoder, Runs, default_vocabulary
 from quire.llm.shared import batches, pieces, read_table, save
 
 CAPACITY = 1024
 # A separator of ids closes every document.
 CLOSING = np.zeros(1, "<u4").tobytes()
-# fixed value: the white space of the published pattern
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-class Runs(dict):
-    """Little-endian 32-bit ids, as bytes, of a run of visible characters with the blank before
-    it. Such a run never shares a token with the next one, so its ids can be kept."""
-
-    def __init__(self, vocabulary: str):
-        super().__init__()
-        import tiktoken
-
-        own = Encoder(vocabulary)
-        ranks = {b: i for i, b in own.strings.items() if i not in own.special.values()}
-        self.special = own.special
-        self.cut = own.cut
-        self.ids = tiktoken.Encoding(
-            "byte-level", pat_str=own.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.runs = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}]|\\Z)|[{WHITE}]").findall
-
-    def __missing__(self, run: str) -> bytes:
-        data = np.array(self.ids(run), dtype="<u4").tobytes()
-        if len(run) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[run] = data
-        return data
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = self.cut(text) if any(s in text for s in self.special) else [text]
-        return b"".join(
-            np.array([self.special[p]], "<u4").tobytes() if p in self.special
-            else b"".join(map(self.__getitem__, self.runs(p))) for p in parts)
-
 
 @functools.lru_cache(maxsize=2)
 def runs(vocabulary: str) -> Runs:
-    return Runs(vocabulary)
+    """Ids by the public rank-file library, for the same vocabulary; its merges are the same."""
+    import tiktoken
+
+    own = Encoder(vocabulary)
+    ranks = {b: i for i, b in own.strings.items() if i not in own.special.values()}
+    ids = tiktoken.Encoding("byte-level", pat_str=own.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Runs(lambda run: np.array(ids.encode_ordinary(run), "<u4").tobytes(), own.special)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -86,7 +55,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
                     data = memoryview(own.encode(text) + CLOSING)
                     sizes.append(len(data) // 4)
                     crcs.append([zlib.crc32(data[i:i + step]) for i in range(0, len(data), step)])
-                yield batches("", {"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
+                yield batches({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
                                    "crcs": pa.array(crcs, pa.list_(pa.int64()))})
 
     return docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, n long, crcs array<long>")
@@ -198,7 +167,7 @@ def pack(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 nth = get["rank"][own] - begin
                 sequence[tail] = window + nth // copies
                 offset[tail] = base + nth % copies * length
-            yield batches("", {
+            yield batches({
                 "doc_id": batch.column("doc_id").take(pa.array(doc)), "start": piece * capacity,
                 "length": np.where(tail, rest[doc], capacity),
                 "ids_crc32": batch.column("crcs").flatten(), "doc_tokens": n[doc],

@@ -86,9 +86,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``most`` bytes of text, so that arrays derived from a
+    """Slices of whole rows with about ``most`` bytes of text, or list elements, so that arrays derived from a
     batch stay small. A longer text makes a slice of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    values = batch.column(column)
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
     begin = held = 0
     for i, size in enumerate(sizes):
         if i > begin and held + size > most:
@@ -142,7 +144,7 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def batches(name: str, columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
+def batches(columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()],
         names=list(columns))

@@ -20,7 +20,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def own():
-    return packing.Runs(bpe.default_vocabulary())
+    return packing.runs(bpe.default_vocabulary())
 
 
 @pytest.mark.parametrize("text", AWKWARD)
@@ -29,7 +29,7 @@ def test_awkward_ids(own, library, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" \n\t \u0085\x1c's")), max_size=40))
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=['Cs']), st.sampled_from(" \n\t \u0085\x1c's")), max_size=40))
 def test_any_ids(own, library, text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -82,7 +82,7 @@ def test_nulls_ties_empty(spark):
     docs = spark.createDataFrame(
         [(i, None if i % 3 == 0 else "same text here", 7) for i in range(50)], "doc_id long, text string, n long")
     rows = packing.pack_documents(docs, 16).collect()
-    n = len(np.frombuffer(packing.Runs(bpe.default_vocabulary()).encode("same text here"), "<u4")) + 1
+    n = len(np.frombuffer(packing.runs(bpe.default_vocabulary()).encode("same text here"), "<u4")) + 1
     check(rows, {i: 1 if i % 3 == 0 else n for i in range(50)}, 16)
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
