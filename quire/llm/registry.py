@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, packing, quality, rules, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality": quality.op3_quality,
+    "op6_warc": warc.op6_warc,
     "op8_packing": packing.op8_packing,
+    "op10_rules": rules.op10_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": warc.OP6_SQL,
+    "op10_rules": rules.OP10_SQL,
+}
