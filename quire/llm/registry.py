@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, packing, quality, rules, toxicity, warc
+from quire.llm import bpe, jaccard, language, packing, quality, rules, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
+    "op4_language": language.op4_language,
     "op6_warc": warc.op6_warc,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_packing": packing.op8_packing,
     "op10_rules": rules.op10_rules,
 }
