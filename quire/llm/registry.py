@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard, language, packing, quality, rules, toxicity, warc
+from quire.llm import bpe, jaccard, language, packing, quality, rules, substring, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_packing": packing.op8_packing,
+    "op9_substring": substring.op9_substring,
     "op10_rules": rules.op10_rules,
 }
 
 SQL: dict[str, str] = {
     "op6_warc": warc.OP6_SQL,
+    "op9_substring": substring.OP9_SQL,
     "op10_rules": rules.OP10_SQL,
 }
