@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard, language, packing, quality, rules, substring, toxicity, warc
+from quire.llm import bpe, jaccard, language, neardup, packing, quality, rules, substring, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
     "op4_language": language.op4_language,
+    "op5_neardup": neardup.op5_neardup,
     "op6_warc": warc.op6_warc,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_packing": packing.op8_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_neardup": neardup.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op9_substring": substring.OP9_SQL,
     "op10_rules": rules.OP10_SQL,

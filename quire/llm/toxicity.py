@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +127,8 @@ def fit(pos: Sparse, unl: Sparse, prior: float, seed: int) -> tuple[np.ndarray,
     return weights, base
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Fit on labelled rows outside the held-out fold; returns the scorer of a table."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and base, fitted on labelled rows outside the held-out fold."""
     learn = labels.where(fold("doc_id", 4) != 2).where("toxic is not null").select(
         "doc_id", "toxic").dropDuplicates(["doc_id"])
     counts = learn.agg(F.count("*"), F.sum("toxic")).first()
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame
     positive = [np.array(r.slots, np.int64) for r in rows if r.toxic == 1]
     unlabelled = [np.array(r.slots, np.int64) for r in rows if r.toxic == 0]
     if not positive:
-        return lambda table: score(table, np.zeros(WEIGHTS, np.float32), -40.0)
+        return np.zeros(WEIGHTS, np.float32), -40.0
     prior = counts[1] / counts[0]
     live = choose(positive, unlabelled, prior)
     narrow = [Sparse([np.searchsorted(live, np.intersect1d(r, live)) for r in rows], len(live))
@@ -149,11 +149,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame
     models = [fit(*narrow, prior, seed) for seed in range(MODELS)]
     weights = np.zeros(WEIGHTS, np.float32)
     weights[live] = np.mean([w for w, _ in models], axis=0)
-    return lambda table: score(table, weights, float(np.mean([b for _, b in models])))
+    return weights, float(np.mean([b for _, b in models]))
 
 
-def score(docs: DataFrame, weights: np.ndarray, base: float) -> DataFrame:
-    """``doc_id, score, predicted`` of every row; the weights have a fixed size."""
+def score(docs: DataFrame, weights: np.ndarray, base: float, passed: tuple[str, ...] = ("doc_id",),
+          keep: bool = False) -> DataFrame:
+    """The ``passed`` columns, ``score`` and ``predicted`` of every row; the weights have a fixed
+    size. With ``keep`` only the rows that are not predicted toxic, without the two columns."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +165,25 @@ def score(docs: DataFrame, weights: np.ndarray, base: float) -> DataFrame:
                 totals = np.array([
                     own[features(t, slots)].sum(dtype=np.float64) for t in batch.column("text").to_pylist()])
                 found = _sigmoid(totals + base)
-                yield batches({"doc_id": batch.column("doc_id"), "score": found,
-                               "predicted": (found >= THRESHOLD).astype(np.int32)})
+                if keep:
+                    yield batch.filter(pa.array(found < THRESHOLD))
+                else:
+                    yield batches({c: batch.column(c) for c in passed} | {
+                        "score": found, "predicted": (found >= THRESHOLD).astype(np.int32)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    if keep:
+        return docs.mapInArrow(run, docs.schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
+    return docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(run, f"{schema}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that a model fitted on the labelled texts of ``corpus`` doesn't predict to
+    be toxic; columns as they came."""
+    return score(docs, *train(corpus, labels), keep=True)
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
-    scored = train(docs, read_table(spark, folder, "labels"))(docs)
+    scored = score(docs, *train(docs, read_table(spark, folder, "labels")))
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
