@@ -1,34 +1,12 @@
 """Fixed values. They decide results, so they are stated exactly and kept together."""
 
 # --- fixed values: character classes (regex class bodies) ---
-PERSIAN = r"\u0600-\u06ff\ufb50-\ufdff\ufe70-\ufeff"
-PERSIAN_TOKEN = r"\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff\u200c"
 CJK = r"\u3040-\u30ff\u3400-\u9fff"
 BIDI_CONTROLS = r"\u200e\u200f\u202a-\u202e\u2066-\u2069"
-# White_Space of Unicode plus the zero-width non-joiner
-FOLD_DROPPED = (
-    r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u200c"
-)
-CONTROL = r"\u0000-\u001f\u007f-\u009f"
+# White_Space of Unicode
+WHITE = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-# --- fixed values: word lists of the Persian rule pack ---
-JOINED_VERBS = (
-    "میشود میشوند میشد میکند میکنند میکنید میکنم میکرد میتوان میتواند میتوانند "
-    "میتوانید میدهد میدهند میگیرد میگیرند میباشد میباشند میگردد میرود میآید میسازد "
-    "میخواهد میگوید میداند میآورد میماند میافتد میپردازد میکنیم میدانیم نمیشود نمیشوند "
-    "نمیکند نمیکنند نمیتوان نمیتواند نمیدهد نمیباشد نمیگردد نمیآید"
-).split()
-HEAD_NOUNS = (
-    "خوشه|خوشه‌های|سرویس‌های|بسته‌های|بستهٔ|مخزن|مخازن|گره‌های|نیازمندی‌های|جریان‌های|"
-    "دیوارهای|بلوک|بلوک‌های"
-).split("|")
-LATIN_STOPWORDS = (
-    "pt em ex cm mm bp dd cc sp true htbp htb hbp tbp here center left right linewidth "
-    "textwidth columnwidth paperwidth paperheight figure table tabular longtable itemize "
-    "enumerate description quote quotation flushleft flushright small footnotesize scriptsize "
-    "tiny large Large LARGE huge Huge normalsize single frame framesep fontsize "
-    "baselinestretch numbers none width height scale angle keepaspectratio page trim clip"
-).split()
+# --- fixed values: English words that end like plurals and are none ---
 PLURAL_EXCEPTIONS = (
     "windows kubernetes redis postgres ios macos https http tls ssl aws gcs nfs dns bios "
     "cosmos analysis thesis basis crisis physics mathematics economics news series species "
@@ -36,57 +14,13 @@ PLURAL_EXCEPTIONS = (
     "across us process access address status bus"
 ).split()
 
-# --- fixed values: pairs used when no pair file exists ---
-DEFAULT_PAIRS = (
-    ("node", "گره"),
-    ("deployment", "استقرار"),
-    ("configuration", "پیکربندی"),
-    ("implementation", "پیاده‌سازی"),
-    ("integration", "یکپارچه‌سازی"),
-    ("firewall", "دیوار آتش"),
-    ("encryption", "رمزنگاری"),
-    ("command", "فرمان"),
-)
-PAIR_LEVELS = ("all", "system-docs", "journal")
-
 # --- fixed values: markup vocabulary ---
-VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 TEXT_EXCLUDED_TAGS = "head title script style".split()
 BREAK_TAGS = (
     "address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td "
     "textarea tfoot th thead tr ul xmp"
 ).split()
-INERT_TAGS = "script style head title pre code kbd samp math".split()
-WAIVER_PATTERN = r"fa-lint:\s*allow\s+([\w-]+)"
-ASSET_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "eps")
-FULL_PAGE_ASSET = r"(?i)^(?:srcpage|page)-\d+\.(?:png|jpe?g|webp)$"
-
-# --- fixed values: admitted licence identifiers and expression keywords ---
-ADMITTED_LICENCES = (
-    "0BSD", "Apache-2.0", "CC0-1.0", "MIT-0", "MIT", "Unlicense", "BSD-2-Clause",
-    "BSD-3-Clause", "MPL-2.0", "ISC", "Unicode-3.0", "Zlib", "BSL-1.0",
-    "LGPL-2.1-or-later", "LLVM-exception", "OR", "AND", "WITH",
-)
 
-# --- fixed values: limits ---
-MAX_LEDGER_BYTES = 1024 * 1024
-MAX_LEDGER_ROWS = 10_000
-MAX_LEDGER_CELL = 256
-MAX_BRIEF_TERMS = 512
-MAX_BRIEF_LOCATIONS = 64
-MAX_BRIEF_SOURCE_BYTES = 4 * 1024 * 1024
-MAX_EVIDENCE_BYTES = 16 * 1024 * 1024
-MAX_HTML_BYTES = 16 * 1024 * 1024
-MAX_HTML_ELEMENTS = 100_000
-MAX_HTML_DEPTH = 512
-MAX_PROBE_STEPS = 2_000_000
-MAX_CLOSURE_DEPTH = 32
-MAX_CLOSURE_VISITS = 128
-MAX_NAME_BYTES = 4096
-MAX_REPORT_FINDINGS = 100_000
-MAX_REPORT_LINES = 200
-MAX_PATCHES = 100_000
-MAX_CROP_PIXELS = 50_000_000
-DARK_MEAN = 120.0
-DARK_FRACTION = 0.5
+# --- fixed values: severities of run events, least first ---
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")

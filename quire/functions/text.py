@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import html
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions import constants as K
 
@@ -18,35 +15,26 @@ def strip_bidi(text: Column) -> Column:
     return F.regexp_replace(text, f"[{K.BIDI_CONTROLS}]", "")
 
 
-@F.pandas_udf("string")
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
-
-
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: s.lower().casefold(), na_action="ignore")
+    return values.map(lambda s: s.casefold(), na_action="ignore")
 
 
 def casefold(text: Column) -> Column:
-    """Full Unicode case folding; plain ASCII never leaves the JVM expression."""
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(_casefold(text))
-
+    """Full Unicode case folding; ASCII rows travel to the function as nulls."""
+    ascii_only = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(ascii_only, F.lower(text)).otherwise(_casefold(F.when(~ascii_only, text)))
 
-def fold(text: Column) -> Column:
-    """Compatibility-normalised text without directional marks, white space or joiners."""
-    return F.regexp_replace(_nfkc(text), f"[{K.BIDI_CONTROLS}{K.FOLD_DROPPED}]", "")
 
-
-def fold_ascii(text: Column) -> Column:
-    """`fold` for text already in composed Latin form, without leaving the JVM."""
-    return F.regexp_replace(text, f"[{K.BIDI_CONTROLS}{K.FOLD_DROPPED}]", "")
+def trimmed(text: Column) -> Column:
+    """Text without white space at its ends, tabs and no-break spaces included."""
+    return F.regexp_replace(text, f"^[{K.WHITE}]+|[{K.WHITE}]+$", "")
 
 
 def excerpt(text: Column, start: Column) -> Column:
     """Sixty characters of context from at most twenty before a zero-based offset."""
     first = F.greatest(F.lit(1), start - 19)
-    return F.btrim(F.replace(F.substr(text, first, F.lit(60)), F.lit("\n"), F.lit(" ")))
+    return trimmed(F.replace(F.substr(text, first, F.lit(60)), F.lit("\n"), F.lit(" ")))
 
 
 def is_cjk(text: Column) -> Column:
@@ -58,17 +46,6 @@ def is_word_char(char: Column) -> Column:
     return char.rlike(r"^[\p{IsAlphabetic}\p{N}_]$")
 
 
-def script_class(name: str) -> str:
-    """Regex class body of a supported script name."""
-    return {
-        "persian": K.PERSIAN,
-        "persian-token": K.PERSIAN_TOKEN,
-        "cjk": K.CJK,
-        "latin": "A-Za-z",
-        "upper": "A-Z",
-    }[name]
-
-
 def plural_stem(word: Column) -> Column:
     """Singular stem of an English plural, or null when the word is not one."""
     lower = F.lower(word)
@@ -86,20 +63,3 @@ def plural_stem(word: Column) -> Column:
         .when(lower.rlike("(?:ches|shes|[sxz]es)$") & (size > 4), cut(2))
         .when(lower.endswith("s") & ~lower.rlike("[suioa]s$"), cut(1))
     )
-
-
-def byte_offset(text: Column, start: Column) -> Column:
-    """UTF-8 byte offset of a code-point offset."""
-    return F.octet_length(F.substr(text, F.lit(1), start))
-
-
-CHARACTER_REFERENCE = re.compile(r"&(?:#[xX][0-9A-Fa-f]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)")
-
-
-@F.pandas_udf("string")
-def decode_entities(values: pd.Series) -> pd.Series:
-    """Decode exactly one layer of character references."""
-    return values.map(
-        lambda s: CHARACTER_REFERENCE.sub(lambda m: html.unescape(m.group()), s),
-        na_action="ignore",
-    )

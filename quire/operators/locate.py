@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import let, running_max, running_sum
+from quire.functions.text import trimmed
 from quire.operators.scan import asof
 
 BACK = 20
@@ -25,7 +26,7 @@ def _last_newline(text: Column) -> Column:
 
 
 def hit_offsets(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of ``start, end, token`` for every match, with no context."""
+    """Array of ``start, end, token, before, after`` for every match, with no further context."""
     return _split_hits(text, pattern, group, located=False)
 
 
@@ -59,6 +60,8 @@ def _split_hits(text: Column, pattern: str, group: int, located: bool) -> Column
                         start.alias("start"),
                         (start + F.length(m)).alias("end"),
                         F.get(p["t"], i).alias("token"),
+                        _previous(p, i).alias("before"),
+                        _following(p, i).alias("after"),
                     ),
                 ))
             lines = running_sum(F.zip_with(
@@ -96,9 +99,9 @@ def _split_hits(text: Column, pattern: str, group: int, located: bool) -> Column
                         F.contains(h["gap"], F.lit("\n")),
                         F.get(start_at, i) + _last_newline(h["gap"]),
                     ).otherwise(F.get(s["br"], i))).alias("col"),
-                    F.right(c["b"], F.lit(1)).alias("before"),
-                    F.substr(c["a"], F.length(m) + 1, F.lit(1)).alias("after"),
-                    F.btrim(F.replace(
+                    _previous(p, i).alias("before"),
+                    _following(p, i).alias("after"),
+                    trimmed(F.replace(
                         F.substr(F.concat(c["b"], c["a"]), F.lit(1), F.lit(SHOWN)),
                         F.lit("\n"), F.lit(" "),
                     )).alias("excerpt"),
@@ -110,6 +113,18 @@ def _split_hits(text: Column, pattern: str, group: int, located: bool) -> Column
     return let(pieces, located_hits)
 
 
+def _previous(p: Column, i: Column) -> Column:
+    """The character before match ``i``: the gap's last, or the last of the match it touches."""
+    gap = F.right(F.get(p["g"], i), F.lit(1))
+    return F.when(gap != "", gap).otherwise(F.coalesce(F.right(F.get(p["m"], i - 1), F.lit(1)), F.lit("")))
+
+
+def _following(p: Column, i: Column) -> Column:
+    """The character after match ``i``: the next gap's first, or the first of the match it touches."""
+    gap = F.left(F.get(p["g"], i + 1), F.lit(1))
+    return F.when(gap != "", gap).otherwise(F.coalesce(F.left(F.get(p["m"], i + 1), F.lit(1)), F.lit("")))
+
+
 def _before(s: Column, h: Column, i: Column) -> Column:
     """The twenty characters before a hit."""
     near = F.right(h["gap"], F.lit(BACK))
@@ -119,7 +134,7 @@ def _before(s: Column, h: Column, i: Column) -> Column:
 
 
 def _after(s: Column, i: Column) -> Column:
-    """A hit and what follows it: enough for the excerpt and the next character."""
+    """A hit and what follows it, enough for the excerpt."""
     near = F.get(s["head"], i)
     return F.when(F.length(near) == SHOWN, near).otherwise(
         F.array_join(F.slice(s["head"], i + 1, F.lit(SHOWN)), ""))
@@ -134,7 +149,7 @@ def find_all(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "te
 
 def find_spans(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text",
                group: int = 0) -> DataFrame:
-    """Every match with offsets only."""
+    """Every match with offsets and its neighbouring characters."""
     return docs.select(key, F.explode(hit_offsets(F.col(text), pattern, group)).alias("h")).select(
         key, "h.*")
 
@@ -146,7 +161,7 @@ def find_bounded(docs: DataFrame, pattern: str, before: str | None = None,
     The neighbours are tested after matching: a look-around inside the pattern would let the
     search resume at other places and find other candidates.
     """
-    hits = find_all(docs, pattern, key, text)
+    hits = find_spans(docs, pattern, key, text)
     if before:
         hits = hits.where(~F.col("before").rlike(f"[{before}]"))
     if after:
@@ -177,7 +192,7 @@ def locate(hits: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFrame:
     """Line and column of offsets found earlier, against a stored line index."""
     starts = index.select(key, F.col("start").alias("line_start"), "line")
     return (
-        asof(hits, starts, [key], "start", "line_start", ["line", "line_start"])
+        asof(hits.drop("line", "col"), starts, [key], "start", "line_start", ["line", "line_start"])
         .withColumn("col", F.col("start") - F.col("line_start") + 1)
         .drop("line_start")
     )
@@ -193,26 +208,6 @@ def provenance(hits: DataFrame, segments: DataFrame, key: str = "doc_id") -> Dat
     )
 
 
-def entity_map(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Raw and decoded ranges of every character reference that changes when decoded."""
-    from quire.functions.text import decode_entities
-
-    refs = find_spans(
-        docs, r"&(?:#[xX][0-9A-Fa-f]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)", key, text)
-    decoded = refs.withColumn("value", decode_entities("token")).where("value <> token")
-    earlier = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    shrink = F.coalesce(F.sum(F.col("end") - F.col("start") - F.length("value")).over(earlier),
-                        F.lit(0))
-    return decoded.withColumn("to_start", (F.col("start") - shrink).cast("int")).select(
-        key,
-        F.col("start").alias("from_start"),
-        F.col("end").alias("from_end"),
-        "to_start",
-        (F.col("to_start") + F.length("value")).alias("to_end"),
-        "value",
-    )
-
-
 def translate_offsets(hits: DataFrame, offset_map: DataFrame, key: str = "doc_id",
                       back: bool = False) -> DataFrame:
     """Move offsets across a piecewise map; inside a mapped piece they clamp to its start."""

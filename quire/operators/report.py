@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.constants import MAX_REPORT_LINES
-
 
 def group_findings(findings: DataFrame) -> DataFrame:
     """Findings per check and level, errors before warnings, then by check."""
@@ -15,23 +13,18 @@ def group_findings(findings: DataFrame) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(place))
 
 
-def top_per_group(findings: DataFrame, group: list[str], order: list[str], limit: int,
-                  spread: str = "doc_id", parts: int = 64) -> DataFrame:
-    """The first ``limit`` rows of each group, with how many more there are.
+def top_per_group(findings: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group, null groups included, with how many more there are.
 
-    A group may hold most of the rows, so the first cut is made inside hash parts of the group
-    and only the survivors, at most ``limit`` times ``parts`` per group, meet in one window.
+    The rank filter is applied before the shuffle as well as after it, so a group that holds most
+    of the rows sends ``limit`` of them from each task. ``order`` should be total. The input is
+    read twice; hand a dear one over as a written table.
     """
-    part = F.pmod(F.xxhash64(spread), F.lit(parts))
-    local = Window.partitionBy(*group, part).orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)
-    kept = (
-        findings.withColumn("_n", F.row_number().over(local)).where(F.col("_n") <= limit)
-        .withColumn("place", F.row_number().over(final)).where(F.col("place") <= limit)
-        .drop("_n")
-    )
-    totals = findings.groupBy(*group).agg(F.count("*").alias("total"))
-    return kept.join(totals, group).withColumn(
+    kept = findings.withColumn("place", F.row_number().over(final)).where(F.col("place") <= limit)
+    totals = findings.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.count("*").alias("total"))
+    same = [kept[g].eqNullSafe(totals[f"_g_{g}"]) for g in group]
+    return kept.join(totals, same).drop(*[f"_g_{g}" for g in group]).withColumn(
         "more", F.greatest(F.col("total") - limit, F.lit(0)))
 
 
@@ -53,13 +46,17 @@ def escape_cell(value: Column) -> Column:
     return value
 
 
-def render_locations(findings: DataFrame, columns: list[str], order: list[str],
-                     spread: str) -> DataFrame:
-    """The first two hundred findings as escaped table lines, with the number not shown."""
-    shown = top_per_group(
-        findings.withColumn("_all", F.lit(1)), ["_all"], order, MAX_REPORT_LINES, spread)
-    cells = [F.concat(F.lit("<code>"), escape_cell(F.col(c).cast("string")), F.lit("</code>"))
-             for c in columns]
-    return shown.select(
-        "place", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line_text"),
-        "total", "more")
+def render_locations(findings: DataFrame, columns: list[str], order: list[str], limit: int,
+                     plain: tuple[str, ...] = ("line",)) -> DataFrame:
+    """The first ``limit`` findings as escaped table lines, then one line that says how many are
+    not shown. Null cells are empty; ``plain`` columns stand without code marks."""
+    cells = [F.coalesce(escape_cell(F.col(c).cast("string")), F.lit("")) for c in columns]
+    marked = [cell if c in plain else F.concat(F.lit("<code>"), cell, F.lit("</code>"))
+              for c, cell in zip(columns, cells)]
+    # at most ``limit`` rows meet in the numbering
+    shown = findings.orderBy(*order).limit(limit).withColumn(
+        "place", F.row_number().over(Window.orderBy(*order))).select(
+        "place", F.concat(F.lit("| "), F.concat_ws(" | ", *marked), F.lit(" |")).alias("line_text"))
+    rest = findings.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("n")).select(
+        F.lit(limit + 1).alias("place"), F.concat(F.col("n").cast("string"), F.lit(" more")).alias("line_text"))
+    return shown.unionByName(rest)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,11 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column],
             inclusive: bool = True) -> DataFrame:
     """Running ``sum``, ``max``, ``min`` or ``last`` per key.
 
+    ``order`` must be total, or rows it leaves equal must be equal in what is aggregated.
     ``bucket`` must be derived from the leading order column and never decrease with it. Each
     (key, bucket) is scanned on its own and the totals of earlier buckets are carried in through
-    a join, so a key that holds a third of all rows is spread over its buckets.
+    a join, so a key that holds a third of all rows is spread over its buckets. Null keys and
+    positions are keys and positions like others.
     """
     upper = 0 if inclusive else -1
     if bucket is None:
@@ -38,7 +43,10 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column],
         *keys, _BUCKET,
         *[_apply(kind, F.col(f"_t_{name}")).over(earlier).alias(f"_c_{name}")
           for name, (kind, _) in aggregates.items()])
-    joined = rows.join(carries, [*keys, _BUCKET]) if keys else rows.join(carries, _BUCKET)
+    same = [*keys, _BUCKET]
+    carries = carries.withColumnsRenamed({c: f"_k_{c}" for c in same})
+    joined = rows.join(carries, reduce(and_, [
+        rows[c].eqNullSafe(carries[f"_k_{c}"]) for c in same]), "left")
     keep = [c for c in df.columns if c != _BUCKET]
     return joined.select(*keep, *[
         _combine(kind, F.col(f"_c_{name}"), F.col(f"_l_{name}")).alias(name)
@@ -71,17 +79,17 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right
     """Attach to each left row the values of the last right row at or before it.
 
     Both sides meet in one union ordered by position, so the cost is one sort and never the
-    product of the sides. Give ``width`` when one key can hold far more rows than a task
+    product of the sides. Positions keep the common type of both sides. Give ``width`` when one key can hold far more rows than a task
     should: positions are then scanned in ranges of that width.
     """
     payload = F.struct(*values)
     shape = right.select(payload.alias("_v")).schema["_v"].dataType
     lefts = left.select(
-        *keys, F.col(left_on).cast("bigint").alias("_pos"), F.lit(1).alias("_side"),
+        *keys, F.col(left_on).alias("_pos"), F.lit(1).alias("_side"),
         F.struct(*left.columns).alias("_row"), F.lit(None).cast(shape).alias("_v"))
     empty = left.select(F.struct(*left.columns).alias("_row")).schema["_row"].dataType
     rights = right.select(
-        *keys, F.col(right_on).cast("bigint").alias("_pos"), F.lit(0).alias("_side"),
+        *keys, F.col(right_on).alias("_pos"), F.lit(0).alias("_side"),
         F.lit(None).cast(empty).alias("_row"), payload.alias("_v"))
     bucket = F.floor(F.col("_pos") / width) if width else None
     # equal positions: right rows first, and among them the largest value wins

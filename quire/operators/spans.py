@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import let
@@ -16,16 +15,16 @@ def merge_spans(spans: DataFrame, keys: list[str], start: str = "start", end: st
 
     A span opens a new island when it starts after every earlier end. The island is named by
     its opening start, which a second running maximum spreads over the rows, so no sequence
-    number is needed. ``width`` scans positions in ranges for keys too large for one task.
+    number is needed. Spans with one start are first reduced to the longest. ``width`` scans positions in ranges for keys too large for one task.
     """
-    live = spans.where(F.col(start) < F.col(end)).select(*keys, start, end)
+    live = spans.where(F.col(start) < F.col(end)).groupBy(*keys, start).agg(
+        F.max(end).alias(end), F.count("*").alias("pieces"))
     bucket = F.floor(F.col(start) / width) if width else None
-    reached = running(live, keys, [start, end], {"_reach": ("max", F.col(end))}, bucket,
-                      inclusive=False)
+    reached = running(live, keys, [start], {"_reach": ("max", F.col(end))}, bucket, inclusive=False)
     opened = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
-    islands = running(reached, keys, [start, end], {"_island": ("max", opened)}, bucket)
+    islands = running(reached, keys, [start], {"_island": ("max", opened)}, bucket)
     return (
-        islands.groupBy(*keys, "_island").agg(F.max(end).alias(end), F.count("*").alias("pieces"))
+        islands.groupBy(*keys, "_island").agg(F.max(end).alias(end), F.sum("pieces").alias("pieces"))
         .withColumnRenamed("_island", start)
     )
 
@@ -56,37 +55,33 @@ def in_scope(hits: DataFrame, scopes: DataFrame, names: list[str], key: str = "d
     return (inside_spans if keep else outside_spans)(hits, named, [key])
 
 
-PAIR_SCHEMA = "name string, start int, end int, depth int"
-
-
 def pair_scopes(markers: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pair openers and closers: a closer closes only the innermost open scope of its own
-    name and is ignored otherwise.
+    """Pair openers and closers of scopes that nest properly within their own name.
 
-    Input rows are ``name, open, start, end`` of each marker. The rule is a stack walk, so the
-    markers of one text, and only those, meet in one group.
+    Input rows are ``name, open, start, end`` of each marker. Per name, an opener and its closer
+    stand at the same running depth, with nothing of that depth between them; a closer with no
+    opener before it is ignored, and so is an opener that is never closed. Names do not close one
+    another.
     """
-    schema = f"{key} {markers.schema[key].dataType.simpleString()}, {PAIR_SCHEMA}"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, found = [], []
-        pdf = pdf.sort_values("start", kind="stable")
-        for name, opens, start, end in zip(pdf["name"], pdf["open"], pdf["start"], pdf["end"]):
-            if opens:
-                stack.append((name, end))
-            elif stack and stack[-1][0] == name:
-                found.append((pdf[key].iloc[0], name, stack.pop()[1], start, len(stack)))
-        return pd.DataFrame(found, columns=[key, "name", "start", "end", "depth"])
-
-    return markers.groupBy(key).applyInPandas(walk, schema)
+    step = F.when(F.col("open"), 1).otherwise(-1)
+    depth = Window.partitionBy(key, "name").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    # a surplus closer lowers the depth for good: measure from the lowest depth so far
+    placed = markers.withColumn("_d", F.sum(step).over(depth)).withColumn(
+        "_low", F.least(F.lit(0), F.min("_d").over(depth))).withColumn(
+        "_level", F.col("_d") - F.col("_low") + F.when(F.col("open"), 0).otherwise(1))
+    level = Window.partitionBy(key, "name", "_level", "_low").orderBy("start")
+    paired = placed.withColumn("_next", F.lead(F.struct("open", "start")).over(level))
+    return paired.where("open and not _next.open").select(
+        key, "name", F.col("end").alias("start"), F.col("_next.start").alias("end"),
+        (F.col("_level") - 1).cast("int").alias("depth"))
 
 
 def overlap_islands(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add ``island``: hits that overlap directly or through others share one."""
-    reached = running(hits, [key], ["start", "end"], {"_reach": ("max", F.col("end"))},
-                      inclusive=False)
+    order = ["start", "end", *sorted(c for c in hits.columns if c not in (key, "start", "end"))]
+    reached = running(hits, [key], order, {"_reach": ("max", F.col("end"))}, inclusive=False)
     opened = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
-    return running(reached, [key], ["start", "end"], {"island": ("max", opened)}).drop("_reach")
+    return running(reached, [key], order, {"island": ("max", opened)}).drop("_reach")
 
 
 def resolve_overlaps(hits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -114,8 +109,9 @@ def resolve_overlaps(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def adjacent_gap(spans: DataFrame, docs: DataFrame, pattern: str, key: str = "doc_id",
-                 text: str = "text") -> DataFrame:
-    """Neighbouring spans whose gap matches a pattern; ``start`` is where the gap begins.
+                 text: str = "text", cleaning: dict[str, str] | None = None) -> DataFrame:
+    """Neighbouring spans whose gap, cleaned by literal replacements, matches a pattern; ``start``
+    is where the gap begins.
 
     The spans of a text are gathered to the text instead of repeating the text per span.
     """
@@ -130,13 +126,17 @@ def adjacent_gap(spans: DataFrame, docs: DataFrame, pattern: str, key: str = "do
             g["start"].alias("start"), g["end"].alias("end"),
             F.substr(F.col(text), g["start"] + 1, g["end"] - g["start"]).alias("gap")))
         ).alias("g")).select(key, "g.*")
-    cleaned = F.replace(F.replace("gap", F.lit("&nbsp;"), F.lit(" ")), F.lit("->"), F.lit(""))
+    cleaned = F.col("gap")
+    for raw, plain in (cleaning or {}).items():
+        cleaned = F.replace(cleaned, F.lit(raw), F.lit(plain))
     return rows.where(cleaned.rlike(pattern))
 
 
 def apply_waivers(findings: DataFrame, waivers: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Drop findings waived on their own or the previous line, by check or by ``all``."""
-    reach = waivers.select(
+    """Drop findings waived on their own or the previous line, by check or by ``all``. Waivers that
+    stand inside a protected span (``protected``, where the column exists) are ignored."""
+    live = waivers.where("not protected") if "protected" in waivers.columns else waivers
+    reach = live.select(
         key, F.explode(F.array("line", F.col("line") + 1)).alias("line"),
         F.col("check").alias("_w")).distinct()
     named = reach.withColumnRenamed("_w", "check")
@@ -146,20 +146,21 @@ def apply_waivers(findings: DataFrame, waivers: DataFrame, key: str = "doc_id")
 
 
 def nested_paths(paths: DataFrame, column: str = "path") -> DataFrame:
-    """Pairs of rows where one path is an ancestor of the other.
+    """Pairs of different paths where one is an ancestor of the other, or equal but for case and
+    closing slashes; ``/`` is an ancestor of every rooted path.
 
-    Each path is exploded into its proper ancestors and joined by equality.
+    Each path is exploded into itself and its ancestors and joined by equality. Of two equal paths
+    the smaller one is the outer.
     """
-    named = paths.select(F.col(column).alias("inner_path")).distinct()
-    parts = F.split(F.lower(F.rtrim(F.col("inner_path"), F.lit("/"))), "/")
-    ancestors = named.select("inner_path", F.explode(let(parts, lambda p: F.transform(
-        F.slice(p, F.lit(1), F.size(p) - 1),
-        lambda _, i: F.array_join(F.slice(p, F.lit(1), i + 1), "/"),
-    ))).alias("_k"))
-    outer = named.select(
-        F.col("inner_path").alias("outer_path"),
-        F.lower(F.rtrim(F.col("inner_path"), F.lit("/"))).alias("_k"))
-    return ancestors.where("_k <> ''").join(outer, "_k").select("outer_path", "inner_path")
+    folded = lambda c: F.lower(F.rtrim(F.lit("/"), F.col(c)))
+    named = paths.select(F.col(column).alias("inner_path")).where("inner_path is not null").distinct()
+    ancestors = named.select("inner_path", folded("inner_path").alias("_own"), F.explode(
+        let(F.split(folded("inner_path"), "/"), lambda p: F.transform(
+            p, lambda _, i: F.array_join(F.slice(p, F.lit(1), i + 1), "/")))).alias("_k"))
+    outer = named.select(F.col("inner_path").alias("outer_path"), folded("inner_path").alias("_k"))
+    return ancestors.join(outer, "_k").where(
+        (F.col("_k") != F.col("_own")) | (F.col("outer_path") < F.col("inner_path"))).select(
+        "outer_path", "inner_path")
 
 
 def mask_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id",
@@ -183,14 +184,11 @@ def mask_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id",
 
 def find_regions(docs: DataFrame, rules: dict[str, str], key: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """Regions declared by paired-delimiter patterns, all kinds in one scan of the text."""
+    """Regions declared by paired-delimiter patterns. Whichever region opens first wins: all kinds
+    are branches of one alternation, and a mark inside another region opens nothing."""
     from quire.operators.locate import hit_offsets
 
-    kinds = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), hit_offsets(F.col(text), pattern).alias("hits"))
-        for kind, pattern in rules.items()])
-    return (
-        docs.select(key, F.explode(kinds).alias("k"))
-        .select(key, "k.kind", F.explode("k.hits").alias("h"))
-        .select(key, "kind", "h.*")
-    )
+    either = "|".join(f"(?:{p})" for p in rules.values())
+    hits = docs.select(key, F.explode(hit_offsets(F.col(text), either)).alias("h")).select(key, "h.*")
+    kind = F.coalesce(*[F.when(F.col("token").rlike(f"^(?:{p})$"), F.lit(k)) for k, p in rules.items()])
+    return hits.select(key, kind.alias("kind"), "start", "end", "token")

@@ -1,4 +1,4 @@
-"""Shape of a registered query."""
+"""Shape of a registered query, and table access."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.session import table
+
+__all__ = ["Query", "hits_sql", "table"]
+
 
 class Query(NamedTuple):
     """A plan over the supplied tables, its checking SQL, and the operators it shows."""
@@ -17,17 +21,22 @@ class Query(NamedTuple):
 
 
 def hits_sql(table: str, key: str, text: str, pattern: str, where: str = "true") -> str:
-    """SQL that lists matches with zero-based offsets, from the pieces around them."""
+    """SQL that lists matches of a pattern that contains no line break, found line by line: the
+    offset of a hit is its line's offset and the text before it in the line."""
     p = pattern.replace("'", "''")
     return f"""
-      SELECT {key}, hit_text, i, token,
-             CAST(list_sum(list_transform(ms[1:i-1], lambda x: length(x))) AS BIGINT) AS before_m,
-             CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) AS BIGINT) AS before_g,
-             coalesce(CAST(list_sum(list_transform(ms[1:i-1], lambda x: length(x))) AS BIGINT), 0)
-             + CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) AS BIGINT) AS start
-      FROM (SELECT {key}, hit_text, ms, gs, unnest(ms) AS token,
-                   unnest(range(1, len(ms) + 1)) AS i
-            FROM (SELECT {key}, {text} AS hit_text,
-                         regexp_extract_all({text}, '{p}') AS ms,
-                         string_split_regex({text}, '{p}') AS gs
-                  FROM {table} WHERE {where}))"""
+      SELECT {key}, hit_text, line, token, line_start + before + before_m AS start,
+             line_start + before + before_m + length(token) AS "end", before + before_m + 1 AS col
+      FROM (SELECT *, unnest(ms) AS token, unnest(range(1, len(ms) + 1)) AS i,
+                   unnest(list_transform(range(1, len(ms) + 1), lambda k:
+                     CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) AS BIGINT))) AS before,
+                   unnest(list_transform(range(1, len(ms) + 1), lambda k:
+                     coalesce(CAST(list_sum(list_transform(ms[1:k-1], lambda x: length(x))) AS BIGINT), 0))) AS before_m
+            FROM (SELECT {key}, hit_text, line, line_start, regexp_extract_all(piece, '{p}') AS ms,
+                         string_split_regex(piece, '{p}') AS gs
+                  FROM (SELECT {key}, hit_text, line, piece,
+                               CAST(coalesce(sum(length(piece) + 1) OVER (PARTITION BY {key} ORDER BY line
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start
+                        FROM (SELECT {key}, {text} AS hit_text, unnest(string_split({text}, chr(10))) AS piece,
+                                     unnest(range(1, len(string_split({text}, chr(10))) + 1)) AS line
+                              FROM {table} WHERE {where}))))"""

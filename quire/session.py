@@ -40,15 +40,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One supplied table, kept columnar so that pruning and pushdown reach the scan."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over the cores when the input has fewer files than cores.
-
-    A large table arrives in many files and is left alone: no shuffle of its text. A table in
-    one row group would otherwise be read, matched and parsed by a single task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
