@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import located
+from quire.plans import evidence, located
 from quire.plans.base import Query
 
-QUERIES: dict[str, Query] = {**located.QUERIES}
+QUERIES: dict[str, Query] = {**located.QUERIES, **evidence.QUERIES}
