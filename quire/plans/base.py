@@ -25,18 +25,17 @@ def hits_sql(table: str, key: str, text: str, pattern: str, where: str = "true")
     offset of a hit is its line's offset and the text before it in the line."""
     p = pattern.replace("'", "''")
     return f"""
-      SELECT {key}, hit_text, line, token, line_start + before + before_m AS start,
-             line_start + before + before_m + length(token) AS "end", before + before_m + 1 AS col
-      FROM (SELECT *, unnest(ms) AS token, unnest(range(1, len(ms) + 1)) AS i,
-                   unnest(list_transform(range(1, len(ms) + 1), lambda k:
-                     CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) AS BIGINT))) AS before,
-                   unnest(list_transform(range(1, len(ms) + 1), lambda k:
-                     coalesce(CAST(list_sum(list_transform(ms[1:k-1], lambda x: length(x))) AS BIGINT), 0))) AS before_m
-            FROM (SELECT {key}, hit_text, line, line_start, regexp_extract_all(piece, '{p}') AS ms,
-                         string_split_regex(piece, '{p}') AS gs
-                  FROM (SELECT {key}, hit_text, line, piece,
-                               CAST(coalesce(sum(length(piece) + 1) OVER (PARTITION BY {key} ORDER BY line
-                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start
-                        FROM (SELECT {key}, {text} AS hit_text, unnest(string_split({text}, chr(10))) AS piece,
-                                     unnest(range(1, len(string_split({text}, chr(10))) + 1)) AS line
-                              FROM {table} WHERE {where}))))"""
+      SELECT {key}, hit_text, line, token, line_start + off AS start,
+             line_start + off + length(token) AS "end", off + 1 AS col
+      FROM (SELECT *, CAST(sum(length(gap) + length(token)) OVER (PARTITION BY {key}, line ORDER BY i) AS BIGINT)
+                      - length(token) AS off
+            FROM (SELECT {key}, hit_text, line, line_start, unnest(ms) AS token, unnest(gs[1:len(ms)]) AS gap,
+                         unnest(range(1, len(ms) + 1)) AS i
+                  FROM (SELECT {key}, hit_text, line, line_start, regexp_extract_all(piece, '{p}') AS ms,
+                               string_split_regex(piece, '{p}') AS gs
+                        FROM (SELECT {key}, hit_text, line, piece,
+                                     CAST(coalesce(sum(length(piece) + 1) OVER (PARTITION BY {key} ORDER BY line
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start
+                              FROM (SELECT {key}, {text} AS hit_text, unnest(string_split({text}, chr(10))) AS piece,
+                                           unnest(range(1, len(string_split({text}, chr(10))) + 1)) AS line
+                                    FROM {table} WHERE {where})))))"""
