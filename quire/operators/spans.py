@@ -152,7 +152,7 @@ def nested_paths(paths: DataFrame, column: str = "path") -> DataFrame:
     Each path is exploded into itself and its ancestors and joined by equality. Of two equal paths
     the smaller one is the outer.
     """
-    folded = lambda c: F.lower(F.rtrim(F.lit("/"), F.col(c)))
+    folded = lambda c: F.lower(F.rtrim(F.col(c), F.lit("/")))
     named = paths.select(F.col(column).alias("inner_path")).where("inner_path is not null").distinct()
     ancestors = named.select("inner_path", folded("inner_path").alias("_own"), F.explode(
         let(F.split(folded("inner_path"), "/"), lambda p: F.transform(
