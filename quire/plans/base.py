@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.session import table
 
-__all__ = ["Query", "hits_sql", "table"]
+__all__ = ["Query", "hits_sql", "longs", "table"]
 
 
 class Query(NamedTuple):
@@ -20,6 +20,11 @@ class Query(NamedTuple):
     operators: str
 
 
+def longs(run: Callable[[SparkSession, str], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The plan with columns as long integers, which is what its SQL gives."""
+    return lambda spark, folder: (df := run(spark, folder)).withColumns({c: df[c].cast("bigint") for c in columns})
+
+
 def hits_sql(table: str, key: str, text: str, pattern: str, where: str = "true") -> str:
     """SQL that lists matches of a pattern that contains no line break, found line by line: the
     offset of a hit is its line's offset and the text before it in the line."""

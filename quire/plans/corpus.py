@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.operators import graphs, locate, survival, terms
-from quire.plans.base import Query, hits_sql, table
+from quire.plans.base import Query, hits_sql, longs, table
 
 WORD = "[A-Za-z]+"
 
@@ -257,8 +257,8 @@ WITH RECURSIVE {E}, r AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE s
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node"""
 
 QUERIES = {
-    "term_hits": Query(term_hits, f"SELECT doc_id, key, start, line, col FROM {H}", "TRM-3"),
-    "term_locations": Query(term_locations, LOCATIONS_SQL, "TRM-4"),
+    "term_hits": Query(longs(term_hits, "start", "line", "col"), f"SELECT doc_id, key, start, line, col FROM {H}", "TRM-3"),
+    "term_locations": Query(longs(term_locations, "start"), LOCATIONS_SQL, "TRM-4"),
     "term_brief": Query(term_brief, BRIEF_SQL, "TRM-5"),
     "term_ambiguity": Query(term_ambiguity, "SELECT lower(p_brand) AS key, count(DISTINCT p_type) AS outputs FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1", "TRM-6"),
     "layered_pairs": Query(layered_pairs, LAYERED_SQL, "TRM-7 TRM-8"),
@@ -268,8 +268,8 @@ QUERIES = {
     "benchmark_probes": Query(benchmark_probes, PROBES_SQL, "ORD-1 ORD-2"),
     "order_verdicts": Query(order_verdicts, VERDICTS_SQL, "ORD-4 ORD-5 ORD-6"),
     "passage_survival": Query(passage_survival, SURVIVAL_SQL, "ORD-7"),
-    "page_text": Query(page_text, PAGE_SQL, "TXT-1"),
-    "structure_census": Query(structure_census, CENSUS_SQL, "TXT-3"),
+    "page_text": Query(longs(page_text, "chars"), PAGE_SQL, "TXT-1"),
+    "structure_census": Query(longs(structure_census, "n_p", "n_a", "n_li", "n_h1", "n_div", "n_b"), CENSUS_SQL, "TXT-3"),
     "page_references": Query(page_references, f"SELECT page_id, ref, count(*) AS n, CAST(min(place) AS INTEGER) AS place FROM {R} GROUP BY ALL", "TXT-4"),
     "admitted_references": Query(admitted_references, ADMITTED_SQL, "TXT-5 RUL-20"),
     "page_rules": Query(page_rules, PAGE_RULES_SQL, "RUL-14 RUL-15 RUL-16 RUL-17 RUL-19"),

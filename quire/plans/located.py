@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import constants as K
 from quire.functions.text import plural_stem, strip_bidi
 from quire.operators import locate, report, spans
-from quire.plans.base import Query, hits_sql, table
+from quire.plans.base import Query, hits_sql, longs, table
 
 NUMBER = r"[0-9]+(?:[.:/-][0-9]+)*"
 CAPITALS = "[A-Z]{2,}"
@@ -304,23 +304,23 @@ SELECT doc_id, CASE WHEN t LIKE '|%' THEN 'row' ELSE 'emphasis' END AS kind, cou
 FROM r GROUP BY ALL"""
 
 QUERIES = {
-    "number_cluster_findings": Query(number_cluster_findings, NUMBERS_SQL, "LOC-1 LOC-4 TXT-14 RUL-12"),
-    "bounded_capitals": Query(bounded_capitals, BOUNDED_SQL, "LOC-2"),
-    "line_lengths": Query(line_lengths, LINES_SQL, "LOC-3"),
-    "located_marks": Query(located_marks, MARKS_SQL, "LOC-4"),
+    "number_cluster_findings": Query(longs(number_cluster_findings, "start", "end", "line", "col"), NUMBERS_SQL, "LOC-1 LOC-4 TXT-14 RUL-12"),
+    "bounded_capitals": Query(longs(bounded_capitals, "start"), BOUNDED_SQL, "LOC-2"),
+    "line_lengths": Query(longs(line_lengths, "chars", "longest"), LINES_SQL, "LOC-3"),
+    "located_marks": Query(longs(located_marks, "line", "last_col"), MARKS_SQL, "LOC-4"),
     "turn_provenance": Query(turn_provenance, PROVENANCE_SQL, "LOC-5"),
-    "folded_offsets": Query(folded_offsets, FOLDED_SQL, "LOC-6"),
-    "merged_spans": Query(merged_spans, MERGED_SQL, "IVL-1"),
+    "folded_offsets": Query(longs(folded_offsets, "raw"), FOLDED_SQL, "LOC-6"),
+    "merged_spans": Query(longs(merged_spans, "start", "end"), MERGED_SQL, "IVL-1"),
     "orders_inside": Query(orders_inside, INSIDE_SQL, "IVL-2"),
-    "rule_findings": Query(rule_findings, WAIVED_SQL, "RUL-22 IVL-7"),
+    "rule_findings": Query(longs(rule_findings, "start", "end", "line", "col"), WAIVED_SQL, "RUL-22 IVL-7"),
     "findings_report": Query(findings_report, REPORT_SQL, "REP-1"),
-    "findings_top": Query(findings_top, TOP_SQL, "REP-2"),
+    "findings_top": Query(longs(findings_top, "place", "start"), TOP_SQL, "REP-2"),
     "findings_gate": Query(findings_gate, GATE_SQL, "REP-3"),
     "findings_rendered": Query(findings_rendered, RENDERED_SQL, "SNK-2"),
-    "adjacent_capitals": Query(adjacent_capitals, ADJACENT_SQL, "IVL-6 RUL-10"),
-    "masked_numbers": Query(masked_numbers, MASKED_SQL, "TXT-9"),
+    "adjacent_capitals": Query(longs(adjacent_capitals, "start", "end"), ADJACENT_SQL, "IVL-6 RUL-10"),
+    "masked_numbers": Query(longs(masked_numbers, "chars"), MASKED_SQL, "TXT-9"),
     "stemmed_tokens": Query(stemmed_tokens, STEM_SQL, "TXT-12"),
     "script_letters": Query(script_letters, SCRIPT_SQL, "TXT-7 TXT-11"),
-    "case_drift": Query(case_drift, DRIFT_SQL, "RUL-13"),
+    "case_drift": Query(longs(case_drift, "start"), DRIFT_SQL, "RUL-13"),
     "text_regions": Query(regions, REGIONS_SQL, "TXT-10"),
 }

@@ -52,7 +52,7 @@ def severe_events(spark, folder):
     return runs.at_least(table(spark, folder, "events"), level, "WARNING").select("event_id", "user_id", "rank")
 
 
-SEVERE_SQL = """SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 4 ELSE 3 END AS rank FROM events WHERE event_type IN ('error', 'purchase')"""
+SEVERE_SQL = """SELECT event_id, user_id, CAST(CASE event_type WHEN 'error' THEN 4 ELSE 3 END AS BIGINT) AS rank FROM events WHERE event_type IN ('error', 'purchase')"""
 
 
 def value_windows(spark, folder):
