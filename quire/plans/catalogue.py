@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import corpus, evidence, located, runs
+from quire.plans import audits, corpus, evidence, located, runs
 from quire.plans.base import Query
 
-QUERIES: dict[str, Query] = {**located.QUERIES, **corpus.QUERIES, **evidence.QUERIES, **runs.QUERIES}
+QUERIES: dict[str, Query] = {**located.QUERIES, **corpus.QUERIES, **evidence.QUERIES, **audits.QUERIES,
+                             **runs.QUERIES}
