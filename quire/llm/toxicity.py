@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def features(text: str | None, slots: Slots) -> np.ndarray:
     """Sorted distinct weight indices of a text."""
     words = set(_WORD.findall((text or "").lower()))
     found = {i for w in words for i in slots[w]}
-    return np.fromiter(found, np.int64, len(found))
+    return np.fromiter(found, np.int32, len(found))
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
@@ -76,18 +77,26 @@ def feature_rows(docs: DataFrame) -> DataFrame:
                 yield batches({
                     "doc_id": batch.column("doc_id"),
                     "slots": pa.array([features(t, slots) for t in batch.column("text").to_pylist()],
-                                      pa.list_(pa.int64()))})
+                                      pa.list_(pa.int32()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, slots array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, slots array<int>")
 
 
 class Sparse:
     """Rows of feature indices laid end to end, for products with a weight vector."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.index = np.concatenate([*rows, np.zeros(0, np.int64)])
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.n, self.width = len(rows), width
+    def __init__(self, index: np.ndarray, row: np.ndarray, n: int, width: int):
+        self.index, self.row, self.n, self.width = index, row, n, width
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Sparse:
+        lists = rows["slots"].combine_chunks()
+        return cls(lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), len(lists), WEIGHTS)
+
+    def only(self, live: np.ndarray) -> Sparse:
+        """The same rows with the features ``live`` alone, numbered by their place in it."""
+        held = np.isin(self.index, live)
+        return Sparse(np.searchsorted(live, self.index[held]), self.row[held], self.n, len(live))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.index], minlength=self.n)
@@ -100,13 +109,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+def choose(pos: Sparse, unl: Sparse, prior: float) -> np.ndarray:
     """Sorted weight indices of the features that may carry a weight."""
-    counts = Sparse(positive, WEIGHTS).gradient(np.ones(len(positive)))
-    in_pos = counts / len(positive)
-    in_unl = Sparse(unlabelled, WEIGHTS).gradient(np.ones(len(unlabelled))) / max(len(unlabelled), 1)
+    counts = pos.gradient(np.ones(pos.n))
+    in_pos, in_unl = counts / pos.n, unl.gradient(np.ones(unl.n)) / max(unl.n, 1)
     in_neg = (in_unl - prior * in_pos) / max(1 - prior, 1e-9)
-    enough = counts >= max(LEAST_ROWS, LEAST_SHARE * len(positive))
+    enough = counts >= max(LEAST_ROWS, LEAST_SHARE * pos.n)
     return np.flatnonzero(enough & (in_neg <= MOST_RATIO * in_pos))
 
 
@@ -136,16 +144,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     chosen = learn.where("toxic = 1").orderBy(order).limit(MOST_POSITIVE).unionByName(
         learn.orderBy(order).limit(MOST_UNLABELLED).withColumn("toxic", F.lit(0)))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # the bounded sample travels as Arrow data and is never a list of Python numbers
     rows = feature_rows(sample.select("doc_id", "text").dropDuplicates(["doc_id"])).join(
-        F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "slots").orderBy("doc_id", "toxic").collect()
-    positive = [np.array(r.slots, np.int64) for r in rows if r.toxic == 1]
-    unlabelled = [np.array(r.slots, np.int64) for r in rows if r.toxic == 0]
-    if not positive:
+        F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "slots").toArrow().sort_by(
+        [("doc_id", "ascending"), ("toxic", "ascending")])
+    pos = Sparse.of(rows.filter(pc.equal(rows["toxic"], 1)))
+    unl = Sparse.of(rows.filter(pc.equal(rows["toxic"], 0)))
+    if not pos.n:
         return np.zeros(WEIGHTS, np.float32), -40.0
     prior = counts[1] / counts[0]
-    live = choose(positive, unlabelled, prior)
-    narrow = [Sparse([np.searchsorted(live, np.intersect1d(r, live)) for r in rows], len(live))
-              for rows in (positive, unlabelled)]
+    live = choose(pos, unl, prior)
+    narrow = pos.only(live), unl.only(live)
     models = [fit(*narrow, prior, seed) for seed in range(MODELS)]
     weights = np.zeros(WEIGHTS, np.float32)
     weights[live] = np.mean([w for w, _ in models], axis=0)
