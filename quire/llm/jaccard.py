@@ -328,3 +328,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The smallest document of each group of similar ones; columns as they came."""
     removed = save(join(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
     return docs.join(removed, docs["doc_id"] == removed["_id"], "left_anti")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2),
+        lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS sh FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), chr(10))) AS key FROM s),
+t AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS set_class FROM n)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(set_class, d.doc_id) AS set_class
+FROM documents d JOIN g ON g.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id"""

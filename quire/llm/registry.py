@@ -20,6 +20,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op5_neardup": neardup.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op7_jaccard": jaccard.OP7_SQL,
     "op9_substring": substring.OP9_SQL,
     "op10_rules": rules.OP10_SQL,
 }

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from quire.llm import jaccard
+from tests.oracle import compare
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -46,6 +47,10 @@ def test_all_documents(spark):
     assert got(jaccard.op7_jaccard(spark, FOLDER)) == brute(docs)
 
 
+def test_against_sql(spark):
+    assert compare(spark, FOLDER, jaccard.op7_jaccard, jaccard.OP7_SQL) == 1000
+
+
 def near_copies(n, length=60, own=()):
     """n texts that differ from one another in a few words."""
     base = [f"w{i}" for i in range(length)]
@@ -57,7 +62,7 @@ def near_copies(n, length=60, own=()):
     return out
 
 
-@pytest.mark.parametrize(("limit", "block"), [(10_000, 256), (20, 16)])
+@pytest.mark.parametrize(("limit", "block"), [(10_000, 512), (20, 16)])
 def test_groups_and_awkward_texts(spark, monkeypatch, limit, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = near_copies(60) + ["same text of six words here"] * 5 + [None, "", " ", "one", "one", "two words", "a b c d", "a b c d"]
