@@ -226,6 +226,39 @@ SELECT page_id AS doc_id, name, count(*) AS scopes, CAST(sum(length(body)) AS BI
   FROM pages, (SELECT unnest(['ul', 'li', 'article', 'nav']) AS name)) GROUP BY ALL"""
 
 
+def scoped_marks(spark, folder):
+    """Runs of stars inside the article of a page, however deep."""
+    from quire.operators.spans import in_scope, pair_scopes
+
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    marks = locate.find_spans(pages, "</?article>").select(
+        "doc_id", F.lit("article").alias("name"), (~F.col("token").startswith("</")).alias("open"), "start", "end")
+    hits = locate.find_spans(pages, r"[*]{3}").select("doc_id", "start")
+    return in_scope(hits, pair_scopes(marks), ["article"]).groupBy("doc_id").agg(F.count("*").alias("hits"))
+
+
+SCOPED_SQL = """
+SELECT page_id AS doc_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '[*]{3}')) AS hits FROM pages
+WHERE regexp_matches(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '[*]{3}')"""
+
+
+def nested_addresses(spark, folder):
+    """Paths of pages and of their folders: which lies in which."""
+    from quire.operators.spans import nested_paths
+
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1)
+    both = table(spark, folder, "pages").select(F.explode(F.array(path, F.regexp_replace(path, "/[^/]*$", ""))).alias("path"))
+    return nested_paths(both.where("path <> ''"))
+
+
+NESTED_SQL = """
+WITH u AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS p FROM pages),
+p AS (SELECT DISTINCT path FROM (SELECT unnest([p, regexp_replace(p, '/[^/]*$', '')]) AS path FROM u) WHERE path <> ''),
+k AS (SELECT path, rtrim(lower(path), '/') AS f FROM p)
+SELECT a.path AS outer_path, b.path AS inner_path FROM k a JOIN k b ON a.path <> b.path
+  AND (starts_with(b.f, a.f || '/') OR a.f = b.f AND a.path < b.path)"""
+
+
 def _part_edges(spark, folder):
     items = table(spark, folder, "lineitem").where("l_quantity > 46")
     nxt = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
@@ -274,6 +307,8 @@ QUERIES = {
     "admitted_references": Query(admitted_references, ADMITTED_SQL, "TXT-5 RUL-20"),
     "page_rules": Query(page_rules, PAGE_RULES_SQL, "RUL-14 RUL-15 RUL-16 RUL-17 RUL-19"),
     "paragraph_scopes": Query(paragraph_scopes, SCOPES_SQL, "IVL-4"),
+    "scoped_marks": Query(scoped_marks, SCOPED_SQL, "IVL-3"),
+    "nested_addresses": Query(nested_addresses, NESTED_SQL, "IVL-8"),
     "cyclic_parts": Query(cyclic_parts, CYCLIC_SQL, "REC-7"),
     "reachable_parts": Query(reachable_parts, REACH_SQL, "REC-21"),
 }

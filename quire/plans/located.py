@@ -303,6 +303,23 @@ WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\|[^\\n|]*\\||\\*{3}
 SELECT doc_id, CASE WHEN t LIKE '|%' THEN 'row' ELSE 'emphasis' END AS kind, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars
 FROM r GROUP BY ALL"""
 
+def longest_forms(spark, folder):
+    """Capital runs and capital runs with their mark: the longer form takes the place."""
+    frame = docs(spark, folder)
+    forms = None
+    for order, pattern in enumerate((CAPITALS, CAPITALS + "[,.]?!!")):
+        hits = locate.find_spans(frame, pattern).select(
+            "doc_id", "start", "end", (F.col("end") - F.col("start")).alias("form_length"), F.lit(order).alias("ord"))
+        forms = hits if forms is None else forms.unionByName(hits)
+    return spans.resolve_overlaps(forms).groupBy("doc_id", "ord").agg(F.count("*").alias("kept"), F.sum("start").alias("places"))
+
+
+LONGEST_SQL = f"""
+WITH a AS ({hits_sql("documents", "doc_id", "text", CAPITALS)}), b AS ({hits_sql("documents", "doc_id", "text", CAPITALS + "[,.]?!!")}),
+k AS (SELECT doc_id, 1 AS ord, start FROM b UNION ALL SELECT doc_id, 0, start FROM a WHERE NOT EXISTS (
+  SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.start = a.start))
+SELECT doc_id, ord, count(*) AS kept, CAST(sum(start) AS BIGINT) AS places FROM k GROUP BY ALL"""
+
 QUERIES = {
     "number_cluster_findings": Query(longs(number_cluster_findings, "start", "end", "line", "col"), NUMBERS_SQL, "LOC-1 LOC-4 TXT-14 RUL-12"),
     "bounded_capitals": Query(longs(bounded_capitals, "start"), BOUNDED_SQL, "LOC-2"),
@@ -312,6 +329,7 @@ QUERIES = {
     "folded_offsets": Query(longs(folded_offsets, "raw"), FOLDED_SQL, "LOC-6"),
     "merged_spans": Query(longs(merged_spans, "start", "end"), MERGED_SQL, "IVL-1"),
     "orders_inside": Query(orders_inside, INSIDE_SQL, "IVL-2"),
+    "longest_forms": Query(longest_forms, LONGEST_SQL, "IVL-5"),
     "rule_findings": Query(longs(rule_findings, "start", "end", "line", "col"), WAIVED_SQL, "RUL-22 IVL-7"),
     "findings_report": Query(findings_report, REPORT_SQL, "REP-1"),
     "findings_top": Query(longs(findings_top, "place", "start"), TOP_SQL, "REP-2"),
