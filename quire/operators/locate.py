@@ -30,18 +30,19 @@ def hit_offsets(text: Column, pattern: str, group: int = 0) -> Column:
     return _split_hits(text, pattern, group, located=False)
 
 
-def hit_array(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of located matches: start, end, token, line, col, before, after, excerpt.
+def hit_array(text: Column, pattern: str, group: int = 0, context: bool = True) -> Column:
+    """Array of located matches: start, end, token, line, col, before, after and, with ``context``,
+    the excerpt, which costs more than all the rest.
 
     Two passes of the pattern give the matches and the gaps between them; running sums over
     those pieces give offsets and lines, and neighbouring pieces give the context, so the work
     grows with the text and not with hits times text. The pattern must not match the empty
     string. ``group`` selects what ``token`` holds; offsets always cover the whole match.
     """
-    return _split_hits(text, pattern, group, located=True)
+    return _split_hits(text, pattern, group, located=True, context=context)
 
 
-def _split_hits(text: Column, pattern: str, group: int, located: bool) -> Column:
+def _split_hits(text: Column, pattern: str, group: int, located: bool, context: bool = False) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     tokens = F.regexp_extract_all(text, F.lit(pattern), group) if group else matches
     gaps = F.split(text, pattern, -1)
@@ -82,15 +83,11 @@ def _split_hits(text: Column, pattern: str, group: int, located: bool) -> Column
                 F.concat(F.right(F.get(p["g"], i), F.lit(BACK)), m), F.lit(BACK)))
             heads = F.transform(p["m"], lambda m, i: F.left(
                 F.concat(m, F.left(F.get(p["g"], i + 1), F.lit(SHOWN))), F.lit(SHOWN)))
-            state = F.struct(lines.alias("nl"), breaks.alias("br"), tails.alias("tail"),
-                             heads.alias("head"))
-            return let(state, lambda s: F.transform(p["m"], lambda m, i: let(
-                F.struct(
-                    F.get(p["g"], i).alias("gap"),
-                    (F.get(start_at, i) + F.length(F.get(p["g"], i))).alias("start"),
-                ),
-                lambda h: let(F.struct(_before(s, h, i).alias("b"), _after(s, i).alias("a")),
-                              lambda c: F.struct(
+            state = F.struct(lines.alias("nl"), breaks.alias("br"),
+                             *([tails.alias("tail"), heads.alias("head")] if context else []))
+
+            def fields(s: Column, m: Column, i: Column, h: Column) -> list[Column]:
+                found = [
                     h["start"].alias("start"),
                     (h["start"] + F.length(m)).alias("end"),
                     F.get(p["t"], i).alias("token"),
@@ -101,11 +98,18 @@ def _split_hits(text: Column, pattern: str, group: int, located: bool) -> Column
                     ).otherwise(F.get(s["br"], i))).alias("col"),
                     _previous(p, i).alias("before"),
                     _following(p, i).alias("after"),
-                    trimmed(F.replace(
-                        F.substr(F.concat(c["b"], c["a"]), F.lit(1), F.lit(SHOWN)),
-                        F.lit("\n"), F.lit(" "),
-                    )).alias("excerpt"),
-                )),
+                ]
+                if context:
+                    shown = F.substr(F.concat(_before(s, h, i), _after(s, i)), F.lit(1), F.lit(SHOWN))
+                    found.append(trimmed(F.replace(shown, F.lit("\n"), F.lit(" "))).alias("excerpt"))
+                return found
+
+            return let(state, lambda s: F.transform(p["m"], lambda m, i: let(
+                F.struct(
+                    F.get(p["g"], i).alias("gap"),
+                    (F.get(start_at, i) + F.length(F.get(p["g"], i))).alias("start"),
+                ),
+                lambda h: F.struct(*fields(s, m, i, h)),
             )))
 
         return let(running_sum(lengths), offsets)

@@ -150,7 +150,7 @@ SELECT l_suppkey, count(*) FILTER (WHERE inside) AS inside, count(*) FILTER (WHE
 def rule_hits(frame: DataFrame) -> DataFrame:
     """All rules over each text, in one pass over the rows and one explode of the hits."""
     def found(check: str, level: str, pattern: str):
-        return F.transform(locate.hit_array(F.col("text"), pattern), lambda h: F.struct(
+        return F.transform(locate.hit_array(F.col("text"), pattern, context=False), lambda h: F.struct(
             F.lit(check).alias("check"), F.lit(level).alias("level"), h["start"].alias("start"), h["end"].alias("end"),
             h["line"].alias("line"), h["col"].alias("col"), h["token"].alias("token")))
 
