@@ -42,7 +42,7 @@ DENSE = 0.4
 # over four standard deviations of 64 samples.
 SKETCH, SLACK = 64, 0.22
 # Sets in a block.
-BLOCK = 256
+BLOCK = 512
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -277,7 +277,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     likely = save(candidates(cells(ended, classes), similarity), "likely")
     # full sets of the classes that need them, from the text of the class's first document
     wanted = likely.select("class_id").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"] == wanted["class_id"]).select("class_id", "text")
+    # ids grow with the corpus: the same shuffled join at every size
+    texts = docs.select("doc_id", "text").join(
+        wanted.hint("merge"), docs["doc_id"] == wanted["class_id"]).select("class_id", "text")
     full = save(_full_sets(texts.dropDuplicates(["class_id"])), "full-sets")
     checked = save(verified(likely.join(full, "class_id").select(*COLUMNS, "full"), similarity), "verified")
     links = checked.groupBy("class_id").agg(F.sum("links").alias("links"))
@@ -327,7 +329,7 @@ def all_rows(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The smallest document of each group of similar ones; columns as they came."""
     removed = save(join(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(removed, docs["doc_id"] == removed["_id"], "left_anti")
+    return docs.join(removed.hint("merge"), docs["doc_id"] == removed["_id"], "left_anti")
 
 
 OP7_SQL = r"""
