@@ -5,7 +5,7 @@ from quire.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("4", "tests")
+    return build_session("8", "tests")
 
 
 @pytest.fixture(scope="session")
