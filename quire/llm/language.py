@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from quire.llm.shared import batches, pieces, read_table, save, text_bytes
 
 SLOTS = 1 << 16
+# Bytes of text whose trigrams are in memory at once.
+SLICE = 1 << 20
 TEXT_WEIGHT, DECLARED_RIGHT = 40.0, 0.9
 HOST_SMOOTHING, SUFFIX_SMOOTHING = 8.0, 50.0
 # fixed values: address suffixes of no country that are told apart; others share one entry
 GENERIC = ("com", "org", "net", "edu", "gov", "info", "biz", "name", "mil", "int", "museum", "wiki")
-# A document is rejected when its text contradicts the stated language this surely.
-CERTAIN = 0.99
+# A document is rejected when all evidence contradicts the stated language this surely, and the
+# text by this margin, which only texts that are nearly all in another language reach.
+CERTAIN, MARGIN = 0.99, 100.0
 
 
 def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -72,7 +75,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for whole in rows:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=SLICE):
                 slot, row, _ = _trigrams(batch.column("text"))
                 langs, code = np.unique(np.array(batch.column("lang").to_pylist(), dtype=str), return_inverse=True)
                 if not len(langs):
@@ -101,7 +104,7 @@ def text_evidence(table: DataFrame, model: np.ndarray) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for whole in rows:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=SLICE):
                 slot, row, n = _trigrams(batch.column("text"))
                 count = np.bincount(row, minlength=n)
                 weight = np.minimum(count, TEXT_WEIGHT) / np.maximum(count, 1)
@@ -127,14 +130,16 @@ def _sums(rows: DataFrame, keys: list[str], width: int, name: str) -> DataFrame:
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """Fuse the evidence of rows ``id, text, declared, suffix, host``; other columns stay.
 
-    Adds ``language``, ``probability``, ``text_language`` and ``probabilities`` (one for each
-    language, in their order).
+    Adds ``language``, ``probability``, ``text_language``, ``probabilities`` (one for each language,
+    in their order) and ``margin``, by how much the text alone favours its language over the
+    declared one.
     """
     width = len(languages)
     if not width:
         return rows.drop("text").select(
             "*", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"),
-            F.lit(None).cast("string").alias("text_language"), F.array().cast("array<double>").alias("probabilities"))
+            F.lit(None).cast("string").alias("text_language"), F.array().cast("array<double>").alias("probabilities"),
+            F.lit(None).cast("double").alias("margin"))
     named = F.array(*map(F.lit, languages))
     said = F.array(*[
         F.when(F.col("declared").isin(languages), F.log(F.when(F.col("declared") == lang, DECLARED_RIGHT).otherwise(
@@ -167,7 +172,8 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
     return fused.select(
         *[c for c in rows.columns if c != "text"],
         lang_at(F.col("probabilities"), best).alias("language"), best.alias("probability"),
-        lang_at(F.col("evidence"), F.array_max("evidence")).alias("text_language"), "probabilities")
+        lang_at(F.col("evidence"), F.array_max("evidence")).alias("text_language"), "probabilities",
+        (F.array_max("evidence") - F.get("evidence", F.array_position(named, F.col("declared")).cast("int") - 1)).alias("margin"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -199,7 +205,7 @@ def keep_documents(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("id"), mark.alias("mark"), letters(F.coalesce("text", F.lit(""))).alias("text"),
         F.lower("lang").alias("declared"), F.lit("").alias("suffix"), F.col("source").alias("host"))
     found = identify(rows, languages, model)
-    wrong = (F.col("language") != F.col("declared")) & (F.col("probability") >= CERTAIN)
+    wrong = (F.col("language") != F.col("declared")) & (F.col("probability") >= CERTAIN) & (F.col("margin") >= MARGIN)
     rejected = save(found.where(wrong).select(
         F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "other-language")
     return docs.join(rejected, (docs["doc_id"] == rejected["_id"]) & (mark == rejected["_mark"]), "left_anti")
