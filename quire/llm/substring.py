@@ -234,7 +234,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
         "anchor", "print", "n", "at.doc_id", "at.start", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = marked.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.struct("anchor", "print", "n", "start", "hot")).alias("wanted"))
-    words = save(_words(docs.select("doc_id", "text").join(wanted, docs["doc_id"] == wanted["_id"]), window), "reference-words")
+    # the list grows with the corpus: the same shuffled join at every size
+    words = save(_words(docs.select("doc_id", "text").join(
+        wanted.hint("merge"), docs["doc_id"] == wanted["_id"]), window), "reference-words")
     count = words.where("not hot").count()
     cold = match_shards(words.where("not hot"), window, max(1, -(-count // shard)))
     rare = match_spread(words.where("hot"), window)
@@ -280,7 +282,7 @@ def cut(docs: DataFrame, spans: DataFrame, passed: list[str]) -> DataFrame:
     """The ``passed`` columns of every row, with ``_n_words``, ``_n_removed`` and ``_kept``, the
     kept words joined by one blank."""
     named = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(named, docs["doc_id"] == named["_id"], "left").drop("_id")
+    joined = docs.join(named.hint("merge"), docs["doc_id"] == named["_id"], "left").drop("_id")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in source:
