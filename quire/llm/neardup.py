@@ -159,7 +159,7 @@ def descend(rows: DataFrame, lists: DataFrame, seed: int) -> tuple[DataFrame, in
 
 def enlarge(classes: DataFrame, grouped: DataFrame) -> DataFrame:
     """``node, links, root`` of components ``node, component``: how many vectors link with a node in
-    one comparison of two blocks, and the smallest node that it links with there."""
+    one comparison of two blocks, and the smallest node that it reaches by links there."""
     sized = save(grouped.groupBy("component").agg(F.count("*").alias("n")), "component-sizes")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = grouped.join(sized, "component").select(
@@ -177,13 +177,11 @@ def enlarge(classes: DataFrame, grouped: DataFrame) -> DataFrame:
             alike = v[x] @ v[y].T >= SIMILARITY
             if low == high:
                 np.fill_diagonal(alike, False)
-            links, root = np.zeros(len(ids), np.int64), ids.copy()
+            links = np.zeros(len(ids), np.int64)
             for a, b, near in ((x, y, alike), (y, x, alike.T))[:1 if low == high else 2]:
                 links[a] += near @ size[b]
-                if len(a) and len(b):
-                    root[a] = np.minimum(root[a], np.where(near, ids[b], np.iinfo(np.int64).max).min(axis=1))
             live = links > 0
-            yield batches({"node": ids[live], "links": links[live], "root": root[live]})
+            yield batches({"node": ids[live], "links": links[live], "root": _roots(ids, x, y, alike)[live]})
 
     counted = cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "node long, links long, root long")
     out = save(counted, "enlarged")
@@ -191,6 +189,19 @@ def enlarge(classes: DataFrame, grouped: DataFrame) -> DataFrame:
     return out
 
 
+def _roots(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Smallest node reachable by links between the rows ``x`` and ``y`` of a cell."""
+    label = ids.copy()
+    if not len(x) or not len(y):
+        return label
+    while True:
+        before = label.copy()
+        for a, b, near in ((x, y, alike), (y, x, alike.T)):
+            label[a] = np.minimum(label[a], np.where(near, label[b], np.iinfo(np.int64).max).min(axis=1))
+        if (label == before).all():
+            return label
+
+
 def audit(rows: DataFrame, grouped: DataFrame, seed: int) -> float:
     """Share of the true links of a bounded sample of nodes that lie within the components."""
     sample = rows.select("node", "v").orderBy(F.xxhash64("node", F.lit(seed))).limit(AUDIT).collect()

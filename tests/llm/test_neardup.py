@@ -44,6 +44,25 @@ def test_groups_chains_copies_and_bad_vectors(spark, monkeypatch, block):
     assert got == brute(listed)
 
 
+def found(spark, rows):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    return {r.vec_id: (r.n_links, r.component_id) for r in neardup.all_rows(table).collect()}
+
+
+@pytest.mark.parametrize("block", [128, 7])
+def test_links_that_are_not_transitive(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    arc = lambda plane, d: np.cos(np.radians(d)) * np.eye(12)[2 * plane] + np.sin(np.radians(d)) * np.eye(12)[2 * plane + 1]
+    rows = [arc(0, d) for d in (0, 50, 25)] + [arc(1, d) for d in (25, 0, 50)]  # V shapes
+    order = [int(i) for i in rng.permutation(np.arange(10, 50))]
+    rows += [arc(2 + i % 4, 20 * (i // 4)) for i in range(40)]  # chains with shuffled ids
+    listed = [(i, [float(x) for x in v]) for i, v in zip([1, 2, 3, 4, 5, 6, *order], rows)]
+    got = found(spark, listed)
+    assert got == brute(listed)
+    assert [got[i] for i in (1, 2, 3)] == [(1, 1), (1, 1), (2, 1)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neardup.all_rows(none).count() == 0
