@@ -9,6 +9,9 @@ with all rows to audit the recall; while it is below the target, further trees a
 A list whose last place is still above the threshold is saturated: it may have more to hold. Lists
 are therefore enlarged to everything their component can hold, a component being what near links
 connect: its nodes are compared block against block, in double precision, which decides the links.
+A link between two components whose lists are saturated on both sides may stand in no list. So the
+saturated nodes of each component are put into balls, and the nodes of two balls near enough for a
+link are compared; components that a link is found between become one.
 The search before that uses single precision and a slightly lower threshold.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing. Repeated rows
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.shared import batches, by_group, drop, read_table, save
+from quire.llm.shared import batches, by_group, drop, mix, read_table, save
 
 SIMILARITY = 0.9
 # Places in a list; nodes that meet at one node of the join at most; nodes in a leaf of a tree.
@@ -37,6 +40,8 @@ LOOSE = 1e-4
 # Nodes compared with all rows to audit the recall, the recall asked for, and how often to go on.
 AUDIT, RECALL, PASSES = 400, 0.99, 4
 STRIPE, BLOCK = 512, 128
+# Balls in a block when balls are compared.
+BALLS = 1024
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -189,6 +194,86 @@ def enlarge(classes: DataFrame, grouped: DataFrame) -> DataFrame:
     return out
 
 
+def bridged(classes: DataFrame, near: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``node, component`` after components that link between saturated nodes have become one.
+
+    A ball holds saturated nodes of one component, about ``BLOCK`` at most, within an angle of their
+    mean. Two balls can only hold a link if their means are no further apart than both angles and
+    that of the threshold, so no link is lost by comparing only such balls.
+    """
+    full = near.groupBy("node").agg(F.count("*").alias("places")).where(F.col("places") >= PLACES).select("node")
+    held = save(full.join(grouped, "node"), "saturated")
+    sized = held.groupBy("component").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("int"))
+    balled = save(held.join(sized, "component").join(classes.select("node", "v"), "node").select(
+        F.xxhash64("component", F.length("v"), part).alias("ball"), "component", "node", "v"), "balls")
+    centred = balled.repartition("ball").sortWithinPartitions("ball", "node").mapInArrow(
+        _centres, "ball long, component long, width int, radius double, v binary")
+    centres = save(centred, "centres")
+    most = centres.groupBy("width").agg(F.ceil(F.count("*") / BALLS).cast("int").alias("blocks"))
+    placed = centres.join(most, "width").select(
+        "ball", "component", "width", "radius", "v", F.pmod(F.xxhash64("ball"), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = placed.withColumn("cell", F.xxhash64("width", F.least("block", "other"), F.greatest("block", "other"))).drop("width")
+    pairs = save(cells.repartition("cell").sortWithinPartitions("cell", "ball").mapInArrow(
+        _close, "cell long, a long, b long"), "close-balls")
+    sides = pairs.select("cell", F.explode(F.array("a", "b")).alias("ball")).join(balled, "ball")
+    between = save(sides.repartition("cell").sortWithinPartitions("cell", "component").mapInArrow(
+        _joined, "a long, b long").distinct(), "bridges")
+    for table in (held, balled, centres, pairs):
+        drop(table)
+    if not between.limit(1).count():
+        return grouped
+    whole = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return grouped.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
+def _angle(cosine: np.ndarray | float) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _centres(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each ball and the largest angle from it."""
+    for table in by_group(rows, "ball"):
+        v = _matrix(table["v"], np.float64)
+        mean = v.sum(axis=0)
+        norm = np.linalg.norm(mean)
+        mean = mean / norm if norm > 0 else v[0]
+        yield batches({
+            "ball": table["ball"].slice(0, 1).combine_chunks(), "component": table["component"].slice(0, 1).combine_chunks(),
+            "width": pa.array([v.shape[1]], pa.int32()), "radius": np.array([_angle(v @ mean).max()]),
+            "v": pa.array([mean.tobytes()], pa.binary())})
+
+
+def _close(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Balls of different components that are near enough for a link, each two under a key."""
+    for table in by_group(rows, "cell"):
+        block, other = table["block"].to_numpy(), table["other"].to_numpy()
+        low, high = np.minimum(block, other)[0], np.maximum(block, other)[0]
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        v, radius = _matrix(table["v"], np.float64), table["radius"].to_numpy()
+        ball, component = table["ball"].to_numpy(), table["component"].to_numpy()
+        near = _angle(v[x] @ v[y].T) <= radius[x, None] + radius[None, y] + _angle(SIMILARITY) + LOOSE
+        near &= component[x, None] != component[None, y]
+        i, j = np.nonzero(np.triu(near, 1) if low == high else near)
+        a, b = ball[x[i]], ball[y[j]]
+        yield batches({"cell": _key(a, b), "a": a, "b": b})
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
+    return mix(mix(low) ^ high).view(np.int64)
+
+
+def _joined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of two balls that a link is found between."""
+    for table in by_group(rows, "cell"):
+        component, v = table["component"].to_numpy(), _matrix(table["v"], np.float64)
+        first = component == component[0]
+        if (v[first] @ v[~first].T >= SIMILARITY).any():
+            yield batches({"a": component[:1], "b": component[-1:]})
+
+
 def _roots(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray) -> np.ndarray:
     """Smallest node reachable by links between the rows ``x`` and ``y`` of a cell."""
     label = ids.copy()
@@ -244,7 +329,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             if new <= CHANGED * PLACES * count:
                 break
         near = lists.where(F.col("s") >= SIMILARITY - LOOSE)
-        grouped = components(near.select(F.col("node").alias("a"), F.col("near").alias("b")))
+        grouped = bridged(classes, near, components(near.select(F.col("node").alias("a"), F.col("near").alias("b"))))
         if audit(rows, grouped, attempt) >= RECALL:
             break
     exact = enlarge(classes, grouped)

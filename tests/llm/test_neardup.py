@@ -63,6 +63,18 @@ def test_links_that_are_not_transitive(spark, monkeypatch, block):
     assert [got[i] for i in (1, 2, 3)] == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_bridge_between_saturated_groups(spark):
+    rng = np.random.default_rng(6)
+    a, b = np.eye(32)[:2]
+    at = lambda d: np.cos(np.radians(d)) * a + np.sin(np.radians(d)) * b
+    cloud = lambda d: [at(d) + rng.normal(size=30) @ np.eye(32)[2:] * 0.015 for _ in range(40)]
+    rows = [*cloud(0), *cloud(30), at(3), at(27)]  # only the last two link the groups
+    listed = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(len(rows)), rows)]
+    want = brute(listed)
+    assert {root for _, root in want.values()} == {0} and sorted({n for n, _ in want.values()}) == [40, 41]
+    assert found(spark, listed) == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neardup.all_rows(none).count() == 0
