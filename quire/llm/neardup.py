@@ -4,7 +4,8 @@ Equal vectors form one class and enter as one node. Each node keeps a list of ne
 lists start from trees of random hyperplanes and are refined by rounds of neighbours-of-neighbours
 joins: at each node its neighbours, and the nodes that list it, meet, and the pairs met are
 proposed to both lists. Rounds stop when few lists change. A bounded sample of nodes is compared
-with all rows to audit the recall; while it is below the target, further trees and rounds follow.
+with all rows to audit the recall; while it is below the target, twice as many trees follow, until
+they would compare as much as all rows with one another: then that is done, which is exact.
 
 A list whose last place is still above the threshold is saturated: it may have more to hold. Lists
 are therefore enlarged to everything their component can hold, a component being what near links
@@ -34,11 +35,14 @@ from quire.llm.shared import batches, by_group, drop, mix, read_table, save
 SIMILARITY = 0.9
 # Places in a list; nodes that meet at one node of the join at most; nodes in a leaf of a tree.
 PLACES, MEET, LEAF = 10, 24, 200
-TREES, ROUNDS, CHANGED = 8, 4, 0.01
+ROUNDS, CHANGED = 4, 0.01
 # What single precision may take from a similarity.
 LOOSE = 1e-4
-# Nodes compared with all rows to audit the recall, the recall asked for, and how often to go on.
-AUDIT, RECALL, PASSES = 400, 0.99, 4
+# Chance that the trees of the first pass bring a pair at the threshold into one leaf.
+MET = 0.999
+# Nodes compared with all rows to audit the recall, how many with links to ask for, how many nodes
+# to take at most in search of those, and the share of them that must have all their links.
+AUDIT, LINKED, WIDEST, RECALL = 400, 20, 6400, 0.99
 STRIPE, BLOCK = 512, 128
 # Balls in a block when balls are compared.
 BALLS = 1024
@@ -76,6 +80,12 @@ def _single(rows: DataFrame) -> DataFrame:
     return rows.select("node", "v").mapInArrow(run, "node long, v binary")
 
 
+def trees_needed(bits: int) -> int:
+    """Trees for ``MET``: a hyperplane parts a pair at the threshold in proportion to its angle."""
+    shared = (1 - np.arccos(SIMILARITY) / np.pi) ** bits
+    return 1 if shared == 1 else int(np.ceil(np.log(1 - MET) / np.log(1 - shared)))
+
+
 def codes(rows: DataFrame, bits: int, trees: int, seed: int) -> DataFrame:
     """``leaf, node``: each node once for each tree, in the leaf that the signs of its products with
     the tree's hyperplanes lead to."""
@@ -91,7 +101,7 @@ def codes(rows: DataFrame, bits: int, trees: int, seed: int) -> DataFrame:
                 for tree in range(trees):
                     planes = np.random.default_rng([seed, tree, width]).normal(size=(v.shape[1], max(bits, 1)))
                     signs = (v @ planes > 0) @ (1 << np.arange(max(bits, 1), dtype=np.int64))
-                    leaf = (signs * 64 + tree) * 1_000_003 + width
+                    leaf = (signs * trees + tree) * 1_000_003 + width
                     yield batches({"leaf": leaf, "node": own.column("node")})
 
     return rows.mapInArrow(run, "leaf long, node long")
@@ -124,10 +134,9 @@ def shortest(proposed: DataFrame) -> DataFrame:
         "place", F.row_number().over(order)).where(F.col("place") <= PLACES).drop("place")
 
 
-def start(rows: DataFrame, count: int, seed: int) -> DataFrame:
+def start(rows: DataFrame, bits: int, trees: int, seed: int) -> DataFrame:
     """Lists from trees; a leaf with too many nodes is cut into random parts of ``LEAF``."""
-    bits = max(0, int(np.ceil(np.log2(max(count, 1) / LEAF))))
-    placed = save(codes(rows, bits, TREES, seed), "leaves")
+    placed = save(codes(rows, bits, trees, seed), "leaves")
     crowd = save(placed.groupBy("leaf").agg(F.count("*").alias("n")), "crowds")
     lists = save(shortest(_near(_parts(placed, crowd, "leaf", LEAF, seed), rows)), "lists")
     drop(placed)
@@ -288,32 +297,58 @@ def _roots(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray) ->
 
 
 def audit(rows: DataFrame, grouped: DataFrame, seed: int) -> float:
-    """Share of the true links of a bounded sample of nodes that lie within the components."""
-    sample = rows.select("node", "v").orderBy(F.xxhash64("node", F.lit(seed))).limit(AUDIT).collect()
-    if not sample:
-        return 1.0
+    """Share of the sampled nodes with links whose links all lie within the components; the lower one
+    of nodes in components above ``LEAF``, which are hot, and of all others.
+
+    The sample of the others grows until ``LINKED`` of them have links or ``WIDEST`` are compared.
+    """
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).select("component")
+    hot = save(grouped.join(sizes, "component").select("node"), "hot-nodes")
+    right, linked = _audited(rows.join(hot, "node", "left_semi"), rows, grouped, AUDIT, seed)
+    shares = [right / linked] if linked else []
+    rest, most = save(rows.join(hot, "node", "left_anti"), "other-nodes"), AUDIT
+    count = rest.count()
+    while True:
+        right, linked = _audited(rest, rows, grouped, most, seed)
+        if linked >= LINKED or most >= min(count, WIDEST):
+            break
+        most *= 4
+    drop(hot)
+    drop(rest)
+    return min([*shares, right / linked] if linked else shares, default=1.0)
+
+
+def _audited(asked: DataFrame, rows: DataFrame, grouped: DataFrame, most: int, seed: int) -> tuple[int, int]:
+    """How many of up to ``most`` sampled nodes have links and all of them within the components, and
+    how many have links."""
+    sample = asked.select("node", "v").orderBy(F.xxhash64("node", F.lit(seed))).limit(most).collect()
     by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in {len(r.v) for r in sample}:
         own = [r for r in sample if len(r.v) == width]
         by_width[width] = (np.array([r.node for r in own]), np.frombuffer(b"".join(bytes(r.v) for r in own), np.float32).reshape(len(own), -1))
+    if not sample:
+        return 0, 0
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids, values = batch.column("node").to_numpy(), batch.column("v").to_pylist()
             for width, (asked, q) in by_width.items():
-                index = [i for i, v in enumerate(values) if len(v) == width]
-                if index:
-                    v = np.frombuffer(b"".join(values[i] for i in index), np.float32).reshape(len(index), -1)
-                    i, j = np.nonzero(q @ v.T >= SIMILARITY)
-                    other = ids[np.array(index)[j]]
-                    real = asked[i] != other
-                    yield batches({"node": asked[i][real], "near": other[real]})
-
-    true = rows.select("node", "v").mapInArrow(run, "node long, near long")
-    found = save(true, "true-links").join(grouped, "node", "left").join(grouped.select(
+                index = np.array([i for i, v in enumerate(values) if len(v) == width])
+                for part in np.array_split(index, len(index) // STRIPE + 1):
+                    if len(part):
+                        v = np.frombuffer(b"".join(values[i] for i in part), np.float32).reshape(len(part), -1)
+                        i, j = np.nonzero(q @ v.T >= SIMILARITY)
+                        other = ids[part[j]]
+                        real = asked[i] != other
+                        yield batches({"node": asked[i][real], "near": other[real]})
+
+    true = save(rows.select("node", "v").mapInArrow(run, "node long, near long"), "true-links")
+    found = true.join(grouped, "node", "left").join(grouped.select(
         F.col("node").alias("near"), F.col("component").alias("c")), "near", "left")
-    right, total = found.agg(F.count_if(F.col("component") == F.col("c")), F.count("*")).first()
-    return right / total if total else 1.0
+    whole = found.groupBy("node").agg(F.min(F.coalesce(F.col("component") == F.col("c"), F.lit(False))).alias("whole"))
+    right, linked = whole.agg(F.count_if("whole"), F.count("*")).first()
+    drop(true)
+    return right, linked
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -321,8 +356,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     units = save(unit_vectors(vectors), "units")
     classes = save(units.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "vector-classes")
     rows, count, lists = save(_single(classes), "nodes"), classes.count(), None
-    for attempt in range(PASSES):
-        fresh = start(rows, count, attempt)
+    bits = max(0, int(np.ceil(np.log2(max(count, 1) / LEAF))))
+    trees, attempt = trees_needed(bits), 0
+    while True:
+        fresh = start(rows, bits, trees, attempt)
         lists = fresh if lists is None else save(shortest(lists.unionByName(fresh)), "lists")
         for turn in range(ROUNDS):
             lists, new = descend(rows, lists, 100 * attempt + turn)
@@ -332,6 +369,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         grouped = bridged(classes, near, components(near.select(F.col("node").alias("a"), F.col("near").alias("b"))))
         if audit(rows, grouped, attempt) >= RECALL:
             break
+        trees, attempt = 2 * trees, attempt + 1
+        if trees * LEAF >= count:
+            grouped = classes.select("node", F.length("v").cast("bigint").alias("component")).distinct()
+            break
     exact = enlarge(classes, grouped)
     labels = components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))

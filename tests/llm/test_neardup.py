@@ -75,6 +75,32 @@ def test_bridge_between_saturated_groups(spark):
     assert found(spark, listed) == want
 
 
+def test_search_that_finds_nothing_ends_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "start", lambda rows, *rest: spark.createDataFrame([], neardup.PROPOSED))
+    monkeypatch.setattr(neardup, "descend", lambda rows, lists, seed: (lists, 0))
+    rng = np.random.default_rng(7)
+    rows = [v + rng.normal(size=16) * 0.02 for v in rng.normal(size=(30, 16)) for _ in range(3)]
+    listed = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    assert found(spark, listed) == brute(listed)
+
+
+def test_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(8)
+    centre, places = rng.normal(size=32), rng.normal(size=(40, 32))
+    rows = [centre + rng.normal(size=32) * 0.02 for _ in range(400)] + [v + rng.normal(size=32) * 0.02 for v in places for _ in range(2)]
+    nodes = spark.createDataFrame([(i, (v / np.linalg.norm(v)).astype(np.float32).tobytes()) for i, v in enumerate(rows)], "node long, v binary")
+    hot = [(i, 0) for i in range(400)]
+    pairs = [(i, i - i % 2) for i in range(400, 480)]
+    grouped = lambda rows: spark.createDataFrame(rows, "node long, component long")
+    assert neardup.audit(nodes, grouped(hot), 0) == 0
+    assert neardup.audit(nodes, grouped(hot + pairs), 0) == 1
+
+
+def test_trees_grow_with_the_table():
+    for bits in (1, 8, 16):
+        assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** neardup.trees_needed(bits) >= 0.999
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neardup.all_rows(none).count() == 0
