@@ -2,9 +2,10 @@
 
 A document is the set of its shingles' hashes. A run splits all sets on one sampled token of each:
 the one that the run's hash function ranks lowest. Two sets share it with a probability equal to
-their similarity. A bucket above ``LIMIT`` is split again, on two further tokens of its sets, and
-so on down its path, unless most of its sets share a further token: such a dense bucket would only
-be copied by a split. Runs repeat until the target recall is reached.
+their similarity. A bucket above ``LIMIT`` is split again, on two further tokens of its sets, which
+each run samples anew for each level, and so on down its path, unless most of its sets share a
+further token: such a dense bucket would only be copied by a split. Runs repeat until the target
+recall is reached.
 
 Small buckets are compared by brute force, larger ones block against block, so no task gets more
 than two blocks. Sketches sieve the pairs; classes with a likely partner are then compared on their
@@ -31,8 +32,8 @@ from quire.llm.graph import components
 from quire.llm.shared import batches, by_group, drop, grams, mix, pieces, read_table, save, text_bytes, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-# Target recall of a pair at the threshold, and the share of pairs that a path may lose on its way
-# down, for which the number of runs allows.
+# Target recall of a pair at the threshold, and the least share of pairs lost on a path's way down
+# that the number of runs allows for.
 RECALL, PATH_LOSS = 0.9999, 0.1
 # Sets in a bucket that is not split further; further tokens, two for each level.
 LIMIT, DEEPER = 2048, 8
@@ -47,7 +48,9 @@ EMPTY = np.uint64(2**64 - 1)
 
 
 def runs_needed(similarity: float, recall: float) -> int:
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity * (1 - PATH_LOSS))))
+    """Runs that miss a pair independently: by the first token, or by both further tokens of a level."""
+    loss = max(PATH_LOSS, 1 - (1 - (1 - similarity) ** 2) ** (DEEPER // 2))
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity * (1 - loss))))
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -76,8 +79,9 @@ def lowest(tokens: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 def profiles(docs: DataFrame, runs: int) -> DataFrame:
     """``doc_id, set_id, tokens, sketch``: a hash of the whole set, the sampled token of each run,
-    and one byte of each of ``SKETCH`` other samples. Texts without shingles are left out."""
-    choose, sketch = _multipliers(runs, 0), _multipliers(SKETCH, 1000)
+    then ``DEEPER`` further ones of each run, and one byte of each of ``SKETCH`` other samples. Texts
+    without shingles are left out."""
+    choose, sketch = _multipliers(runs * (1 + DEEPER), 0), _multipliers(SKETCH, 1_000_000)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
@@ -102,10 +106,12 @@ def _set_id(tokens: np.ndarray) -> bytes:
 def leaves(classes: DataFrame, runs: int, limit: int = LIMIT) -> DataFrame:
     """``class_id, bucket, n``: the buckets, of n sets, in which each class ends. Buckets of one
     class are left out."""
-    token = lambda i: F.substring("tokens", 8 * i + 1, 8)
-    further = [token(runs + i) for i in range(DEEPER)]
-    live = classes.select("class_id", *[f.alias(f"t{i}") for i, f in enumerate(further)], F.explode(F.array(
-        *[F.xxhash64(F.lit(i), token(i)) for i in range(runs)])).alias("bucket"))
+    tokens = lambda i, n=1: F.substring("tokens", 8 * i + 1, 8 * n)
+    # each run goes down on tokens of its own, so that runs lose a pair independently of one another
+    live = classes.select("class_id", F.explode(F.array(*[F.struct(
+        F.xxhash64(F.lit(i), tokens(i)).alias("bucket"), tokens(runs + DEEPER * i, DEEPER).alias("further"))
+        for i in range(runs)])).alias("run")).select("class_id", "run.bucket", *[
+            F.substring("run.further", 8 * i + 1, 8).alias(f"t{i}") for i in range(DEEPER)])
     done, made = None, []
     for level in range(0, DEEPER + 1, 2):
         keys = ["class_id", "bucket", *[f"t{i}" for i in range(level, DEEPER)]]
@@ -269,7 +275,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     links, ``n_links`` how many other documents are similar, equal ones included.
     """
     runs = runs_needed(similarity, recall)
-    found = save(profiles(docs, runs + DEEPER), "profiles")
+    found = save(profiles(docs, runs), "profiles")
     classes = save(found.groupBy("set_id").agg(
         F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("size"),
         F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "set-classes")

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from quire.llm import jaccard
@@ -75,6 +76,20 @@ def test_groups_and_awkward_texts(spark, monkeypatch, limit, block):
     assert found == want
 
 
+def test_runs_lose_pairs_independently(spark):
+    """Pairs just above the threshold, all of shingles that stand in a quarter of the sets."""
+    rng = np.random.default_rng(4)
+    passages, texts = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(40)], []
+    for _ in range(300):
+        chosen = rng.permutation(40)[:11]
+        texts += [" ".join(passages[i] for i in chosen[:10]), " ".join(passages[i] for i in [*chosen[:9], chosen[10]])]
+    docs = list(enumerate(texts))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(table, limit=5).collect()}
+    want = brute(docs)
+    assert all(n for _, n in want.values()) and found == want
+
+
 def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert got(jaccard.all_rows(docs).where("doc_id <> 1")) == {2: (1, 1), 3: (3, 0)}
