@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard, language, neardup, packing, quality, rules, substring, toxicity, warc
+from quire.llm import (bpe, infill, jaccard, language, mixing, neardup, packing, quality, rules, substring, toxicity, trie,
+                       warc)
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_substring": substring.op9_substring,
     "op10_rules": rules.op10_rules,
+    "op11_infill": infill.op11_infill,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_trie": trie.op13_trie,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +27,7 @@ SQL: dict[str, str] = {
     "op7_jaccard": jaccard.OP7_SQL,
     "op9_substring": substring.OP9_SQL,
     "op10_rules": rules.OP10_SQL,
+    "op11_infill": infill.OP11_SQL,
+    "op12_mixing": mixing.OP12_SQL,
+    "op13_trie": trie.OP13_SQL,
 }
