@@ -28,11 +28,11 @@ whole. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import (batches, by_group, drop, grams, mix, pieces, read_table, save, text_bytes,
@@ -216,8 +216,26 @@ def match_spread(references: DataFrame, window: int) -> DataFrame:
     first = save(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first")), "first-windows")
     listed = windows.join(first, ["a", "b"]).groupBy("anchor", "print").agg(
         F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
-    return listed.select("anchor", "print", F.transform("w", lambda x: F.struct(
-        x["at"].alias("from"), (x["at"] + 1).cast("int").alias("to"), x["first"].alias("first"))).cast(RUNS).alias("runs"))
+    one = lambda x: F.struct(x["at"].alias("from"), (x["at"] + 1).cast("int").alias("to"), x["first"].alias("first"))
+    return listed.select("anchor", "print", _joined(F.transform("w", one).cast(RUNS), lambda last, x: (
+        last["first"] == x["first"]) & (last["to"] == x["from"]), ["first"]).alias("runs"))
+
+
+def _joined(runs: Column, meets: Callable[[Column, Column], Column], kept: list[str]) -> Column:
+    """Ordered stretches ``from, to`` with those joined that meet the one before; few are left, so the array that
+    grows stays short."""
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
+        last(acc)["from"].alias("from"), F.greatest(last(acc)["to"], x["to"]).alias("to"), *[x[c].alias(c) for c in kept])))
+    return F.aggregate(runs, F.slice(runs, F.lit(1), F.lit(1)), lambda acc, x: F.when(
+        meets(last(acc), x), grown(acc, x)).otherwise(F.concat(acc, F.array(x))))
+
+
+def _spans(runs: Column, doc: Column, start: Column, window: int) -> Column:
+    """Word ranges of a segment under windows that a smaller document has, joined, in order."""
+    seen = F.filter(runs, lambda r: (r["first"] >= 0) & (r["first"] < doc))
+    return _joined(F.transform(seen, lambda r: F.struct(
+        (start + r["from"]).alias("from"), (start + r["to"] + (window - 1)).alias("to"))), lambda last, x: x["from"] <= last["to"], [])
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -242,11 +260,10 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
     rare = match_spread(words.where("hot"), window)
     runs = save(cold.unionByName(rare), "reference-runs")
     drop(words)
+    # one row a segment: its removable windows are joined within the array
     hits = live.join(runs, ["anchor", "print"]).select(
-        "doc_id", "start", F.explode(F.filter("runs", lambda r: (r["first"] >= 0) & (r["first"] < F.col("doc_id")))).alias("r"))
-    spans = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(
-        (F.col("start") + F.col("r.from")).alias("from"),
-        (F.col("start") + F.col("r.to") + (window - 1)).alias("to")))).alias("spans"))
+        "doc_id", _spans(F.col("runs"), F.col("doc_id"), F.col("start"), window).alias("spans")).where(F.size("spans") > 0)
+    spans = hits.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     out = save(spans, "removals")
     for table in (shared, live, distinct, spread, runs):
         drop(table)
@@ -279,16 +296,18 @@ def _words(rows: DataFrame, window: int) -> DataFrame:
 
 
 def cut(docs: DataFrame, spans: DataFrame, passed: list[str]) -> DataFrame:
-    """The ``passed`` columns of every row, with ``_n_words``, ``_n_removed`` and ``_kept``, the
-    kept words joined by one blank."""
-    named = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(named.hint("merge"), docs["doc_id"] == named["_id"], "left").drop("_id")
+    """``row``, a struct of the ``passed`` columns of every row, with ``n_words``, ``n_removed`` and ``kept``, the
+    kept words joined by one blank. Columns may have any names."""
+    rows = docs.select(F.col("doc_id").alias("of"), F.struct(*dict.fromkeys(["text", *passed])).alias("row"))
+    named = spans.select(F.col("doc_id").alias("at"), "spans")
+    joined = rows.join(named.hint("merge"), F.col("of") == F.col("at"), "left").select("row", "spans")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in source:
-            for batch in pieces(whole):
+            texts = whole.column("row").field("text")
+            for batch in pieces(whole.append_column("text", texts)):
                 out = []
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                     words = _WORDS.findall(text or "")
                     if not spans:
                         out.append((len(words), 0, " ".join(words)))
@@ -298,29 +317,30 @@ def cut(docs: DataFrame, spans: DataFrame, passed: list[str]) -> DataFrame:
                         keep[s["from"]:s["to"]] = False
                     out.append((len(words), int((~keep).sum()), " ".join(w for w, k in zip(words, keep) if k)))
                 n, removed, kept = zip(*out)
-                yield batches({c: batch.column(c) for c in passed} | {
-                    "_n_words": pa.array(n, pa.int64()), "_n_removed": pa.array(removed, pa.int64()),
-                    "_kept": pa.array(kept, pa.string())})
+                row = batch.column("row")
+                yield batches({
+                    "row": pa.StructArray.from_arrays([row.field(c) for c in passed], names=passed), "n_words": pa.array(n, pa.int64()),
+                    "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
-    return joined.mapInArrow(run, f"{schema}, _n_words long, _n_removed long, _kept string")
+    fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in passed)
+    return joined.mapInArrow(run, f"row struct<{fields}>, n_words long, n_removed long, kept string")
 
 
 def op9_substring(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return cut(docs, removals(docs), ["doc_id"]).select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
-        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+        "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def keep_unseen(docs: DataFrame) -> DataFrame:
     """Documents without the passages seen in a smaller one; columns as they came. A text that
     loses words keeps its other words joined by blanks; ``n_chars`` follows where it exists."""
     done = cut(docs, removals(docs), docs.columns)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    sized = {"n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(
-        F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return done.withColumns({"text": text} | sized).select(docs.columns)
+    shorter = F.col("n_removed") > 0
+    new = {"text": F.when(shorter, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(shorter, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 OP9_SQL = r"""

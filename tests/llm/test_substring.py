@@ -45,7 +45,7 @@ def test_random_passages(spark, seed, hot, shard):
     docs = random_docs(seed)
     table = spark.createDataFrame([(d, t, d, 1) for d, t in docs], "doc_id long, text string, start long, n int").repartition(3)
     spans = substring.removals(table, window=8, gram=3, shard=shard, hot=hot)
-    got = {r.doc_id: (r._n_words, r._n_removed, r._kept) for r in substring.cut(table, spans, ["doc_id", "start"]).collect()}
+    got = {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.cut(table, spans, ["doc_id", "start"]).collect()}
     assert got == brute(docs, 8)
 
 
@@ -82,3 +82,22 @@ def test_stage_and_empty(spark):
     assert substring.keep_unseen(docs.limit(0)).count() == 0
     twice = docs.union(docs)
     assert sorted(r.doc_id for r in substring.keep_unseen(twice).collect()) == [1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_any_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    shape = "doc_id long, text string, `_id` long, `spans` string, `row` int, `n_words` string, `kept` array<int>, `a b` struct<x: int>"
+    docs = spark.createDataFrame([(i, text, 10 + i, "s", i, None, [i], (i,)) for i in (1, 2)], shape)
+    rows = [tuple(r) for r in substring.keep_unseen(docs).orderBy("doc_id").collect()]
+    assert rows == [(1, text, 11, "s", 1, None, [1], (1,)), (2, "", 12, "s", 2, None, [2], (2,))]
+    assert substring.keep_unseen(docs).dtypes == docs.dtypes
+
+
+def test_window_runs_join(spark):
+    rng = random.Random(9)
+    core = " ".join(f"p{i}" for i in range(12))
+    docs = [(i, " ".join(f"c{rng.randrange(5)}" for _ in range(rng.randrange(9))) + " " + core + " " + " ".join(
+        f"d{rng.randrange(5)}" for _ in range(rng.randrange(9)))) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    spans = substring.removals(frame, window=8, gram=3, hot=2)
+    assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.cut(frame, spans, ["doc_id"]).collect()} == brute(docs, 8)
