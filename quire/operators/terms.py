@@ -1,21 +1,187 @@
-"""Terminology: dictionary terms met in texts by an equality join on tokens."""
+"""Terminology: dictionary terms of one or several words met in texts by equality joins.
+
+Terms are cut into tokens. Two classes meet the texts in different ways:
+
+- *runs*: a term that begins with a word meets the texts by the hash of its first one, two or three tokens, a
+  class for each width; what follows is verified at its place. Its neighbours must not be word characters.
+- *chars*: a term that holds CJK characters, begins with another sign, or can overlap itself meets them by its first
+  one or two characters. Terms with CJK characters have no boundaries.
+
+A bitmap of a fixed size over the hashes of all terms is tested where a text is read, so only runs that
+may be terms leave the task, with their place and as much text as a term of that class is long. The
+dictionary itself is joined, never broadcast by hand, and may be of any size.
+
+Hits of one term do not overlap: the leftmost one stands, as in a search from left to right, and the
+boundary is tested afterwards. A null or blank term has no hits, a null text has none; repeated terms
+count once, repeated rows of a document give repeated hits. Case is ignored by lower case.
+"""
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.locate import find_all
+from quire.functions import constants as K
+from quire.operators.spans import resolve_overlaps
+
+# Word characters of any script, for Python and for Java.
+WORD = r"[\p{Alphabetic}\p{N}_]+"
+_WORD_CHAR = r"[\p{IsAlphabetic}\p{N}_]"
+WIDEST, SLOTS, _FLUSH = 3, 1 << 20, 20_000
+_HITS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("width", pa.int32()), ("hash", pa.int64()), ("start", pa.int32()),
+                   ("lead", pa.int32()), ("near", pa.string()), ("line", pa.int32()), ("col", pa.int32())])
+
+
+def _hash(kind: str, width: int, anchor: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(anchor, digest_size=8, key=f"{kind}{width}".encode()).digest(), "little", signed=True)
+
+
+def _slot(code: int, kind: str, width: int) -> int:
+    return (code * 2_654_435_761 + width + (17 if kind == "chars" else 0)) % SLOTS
+
+
+def _lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def indexed(terms: DataFrame, column: str = "term", word: str = WORD) -> DataFrame:
+    """``key, kind, width, hash, slot, size, bounded, loops`` of each distinct term in lower case."""
+    shape = pa.schema([("key", pa.string()), ("kind", pa.string()), ("width", pa.int32()), ("hash", pa.int64()), ("slot", pa.int64()),
+                       ("size", pa.int64()), ("bounded", pa.bool_()), ("loops", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, cjk = regex.compile(word).finditer, regex.compile(f"[{K.CJK}]").search
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                found = [m.span() for m in tokens(key)]
+                open_ = bool(cjk(key))
+                # a suffix that begins a word and is a prefix lets a term overlap itself across a boundary
+                loops = any(key.startswith(key[a:]) for a, _ in found if a) or open_ and any(key.startswith(key[i:]) for i in range(1, len(key)))
+                if open_ or loops or not found or found[0][0]:
+                    kind, width, anchor = "chars", min(2, len(key)), key[:2]
+                    code = zlib.crc32(anchor.encode())
+                    loops = any(key.startswith(key[i:]) for i in range(1, len(key)))
+                else:
+                    kind, width = "runs", min(WIDEST, len(found))
+                    anchor = "\0".join(key[a:b] for a, b in found[:width])
+                    code = zlib.crc32(anchor.encode())
+                rows.append((key, kind, width, _hash(kind, width, anchor.encode()), _slot(code, kind, width), len(key), not open_, loops))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+
+    keys = terms.select(F.lower(F.col(column)).alias("key")).where("key is not null and trim(key) <> ''").distinct()
+    return keys.mapInArrow(run, "key string, kind string, width int, hash long, slot long, size long, bounded boolean, loops boolean")
+
+
+def _bitmap(index: DataFrame) -> tuple[bytes, dict[tuple[str, int], int]]:
+    """The slots of all terms, ``SLOTS`` bits whatever their number, and the longest term of each class."""
+    words = np.zeros(SLOTS // 64, np.int64)
+    for row in index.groupBy(F.shiftright("slot", 6).alias("w")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).collect():
+        words[row["w"]] = row["b"]
+    longest = {(r["kind"], r["width"]): r["n"] for r in index.groupBy("kind", "width").agg(F.max("size").alias("n")).collect()}
+    return words.tobytes(), longest
+
+
+def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame:
+    """Places of ``docs(doc_id, text)`` that may begin a term: class, hash, offset, line, column and the text there."""
+    bits, longest = _bitmap(index)
+    words = regex.compile(word)
+
+    def runs(low: str) -> Iterator[tuple[str, int, int, str]]:
+        found = [(m.start(), m[0].encode()) for m in words.finditer(low)]
+        for i, (start, _) in enumerate(found):
+            code, joined = 0, b""
+            for width in range(1, min(WIDEST, len(found) - i) + 1):
+                part = found[i + width - 1][1] if width == 1 else b"\0" + found[i + width - 1][1]
+                code, joined = zlib.crc32(part, code), joined + part
+                if ("runs", width) in longest:
+                    slot = _slot(code, "runs", width)
+                    if bits[slot >> 3] >> (slot & 7) & 1:
+                        yield "runs", width, start, joined
+
+    def chars(low: str, width: int) -> Iterator[tuple[str, int, int, str]]:
+        known: dict[str, bytes | None] = {}
+        for i in range(len(low) - width + 1):
+            anchor = low[i:i + width]
+            if anchor not in known:
+                slot = _slot(zlib.crc32(anchor.encode()), "chars", width)
+                known[anchor] = anchor.encode() if bits[slot >> 3] >> (slot & 7) & 1 else None
+            if known[anchor]:
+                yield "chars", width, i, known[anchor]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                low, breaks = _lower(text or ""), None
+                found = [runs(low)] if any(k == "runs" for k, _ in longest) else []
+                found += [chars(low, w) for k, w in longest if k == "chars"]
+                for kind, width, start, anchor in (x for part in found for x in part):
+                    if breaks is None:
+                        breaks = [i for i, c in enumerate(text) if c == "\n"]
+                    line = bisect.bisect_left(breaks, start)
+                    lead = min(start, 1)
+                    rows.append((doc, kind, width, _hash(kind, width, anchor), start, lead, text[start - lead:start + longest[kind, width] + 1],
+                                 line + 1, start - (breaks[line - 1] if line else -1)))
+                    if len(rows) >= _FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HITS)], schema=_HITS)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HITS)], schema=_HITS)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, kind string, width int, hash long, start int, lead int, near string, line int, col int")
+
+
+def phrases(docs: DataFrame, terms: DataFrame, column: str = "term", word: str = WORD) -> DataFrame:
+    """``doc_id, key, start, end, token, line, col``: every hit of every term of ``terms(column)``."""
+    index = indexed(terms, column, word)
+    body = F.expr("substr(near, lead + 1, size)")
+    met = candidates(docs, index, word).join(index.drop("slot"), ["kind", "width", "hash"]).withColumn("token", body).where(
+        F.lower("token") == F.col("key")).withColumns({"size": F.col("size").cast("int"), "end": (F.col("start") + F.col("size")).cast("int")})
+    free = met.where("not loops")
+    group = met.where("loops").withColumns({"of": F.struct("doc_id", "key"), "form_length": F.col("size"), "ord": F.lit(0)})
+    first = resolve_overlaps(group, "of").select(*met.columns)
+    clear = lambda c: ~F.coalesce(c, F.lit("")).rlike(_WORD_CHAR)
+    before, after = F.expr("substr(near, 1, lead)"), F.expr("substr(near, lead + size + 1, 1)")
+    return free.unionByName(first).where(~F.col("bounded") | clear(before) & clear(after)).select(
+        "doc_id", "key", "start", "end", "token", "line", "col")
+
+
+def forbidden(docs: DataFrame, forms: DataFrame) -> DataFrame:
+    """Hits of ``forms(source, form)`` with what they stand for; of overlapping ones the longest form
+    stands, then the first by name."""
+    hits = phrases(docs, forms, "form").withColumns({"form_length": F.col("end") - F.col("start"), "ord": F.col("key")})
+    named = forms.select(F.lower("form").alias("key"), "source").where("key is not null").distinct()
+    return resolve_overlaps(hits, "doc_id").join(named, "key").select("doc_id", "source", "key", "start", "end", "token", "line", "col")
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, token: str = "[A-Za-z]+") -> DataFrame:
-    """Case-insensitive hits of the single-word ``terms(term)`` with line and column.
-
-    Texts are cut into tokens once; the dictionary may be of any size.
-    """
-    wanted = terms.select(F.lower("term").alias("key")).distinct()
-    hits = find_all(docs, token).select("doc_id", "start", "line", "col", "token", F.lower("token").alias("key"))
-    return hits.join(wanted, "key")
+    """Hits of the single-word ``terms(term)``, where words are what ``token`` matches."""
+    index = indexed(terms, "term", token).where("kind = 'runs' and width = 1")
+    met = candidates(docs, index, token).join(index.select("key", "hash", "size"), "hash")
+    return met.withColumn("token", F.expr("substr(near, lead + 1, size)")).where(F.lower("token") == F.col("key")).select(
+        "doc_id", "start", "line", "col", "token", "key")
+
+
+def ambiguous_matched(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id, key, outputs``: terms met in a document that stand there for more than one ``output, concept`` of
+    ``pairs(source, output, concept)``; pairs of terms not met don't count."""
+    wanted = pairs.select(F.lower("source").alias("key"), "output", "concept").where("key is not null").distinct()
+    return hits.select("doc_id", "key").distinct().join(wanted, "key").groupBy("doc_id", "key").agg(
+        F.count("*").alias("outputs")).where("outputs > 1")
 
 
 def first_locations(hits: DataFrame, most: int) -> DataFrame:

@@ -295,7 +295,7 @@ QUERIES = {
     "term_brief": Query(term_brief, BRIEF_SQL, "TRM-5"),
     "term_ambiguity": Query(term_ambiguity, "SELECT lower(p_brand) AS key, count(DISTINCT p_type) AS outputs FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1", "TRM-6"),
     "layered_pairs": Query(layered_pairs, LAYERED_SQL, "TRM-7 TRM-8"),
-    "banned_forms": Query(banned_forms, BANNED_SQL, "TRM-2 RUL-6"),
+    "banned_forms": Query(banned_forms, BANNED_SQL, "TRM-2"),
     "corpus_drift": Query(corpus_drift, CORPUS_DRIFT_SQL, "TRM-10"),
     "term_usage": Query(term_usage, USAGE_SQL, "TRM-11"),
     "benchmark_probes": Query(benchmark_probes, PROBES_SQL, "ORD-1 ORD-2"),
