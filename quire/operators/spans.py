@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import let
@@ -56,24 +59,39 @@ def in_scope(hits: DataFrame, scopes: DataFrame, names: list[str], key: str = "d
 
 
 def pair_scopes(markers: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pair openers and closers of scopes that nest properly within their own name.
-
-    Input rows are ``name, open, start, end`` of each marker. Per name, an opener and its closer
-    stand at the same running depth, with nothing of that depth between them; a closer with no
-    opener before it is ignored, and so is an opener that is never closed. Names do not close one
-    another.
+    """Pair openers and closers with one stack a key, whatever their names.
+
+    Input rows are ``name, open, start, end`` of each marker. An opener is pushed; a closer takes
+    the top of the stack if that has its name and is ignored otherwise, so a crossing closes
+    nothing and surplus closers do no harm. An opener that is never closed gives no scope and
+    stays in the way of those below it. ``start, end`` is what lies between the two markers, ``depth`` the
+    number of scopes open around it. Markers are sorted by their place and streamed through the stack:
+    a text's markers cost one step each and no more memory than its open scopes. Markers with
+    a null name or place are left out; of equal places the shorter marker comes first; a null key is a key.
     """
-    step = F.when(F.col("open"), 1).otherwise(-1)
-    depth = Window.partitionBy(key, "name").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    # a surplus closer lowers the depth for good: measure from the lowest depth so far
-    placed = markers.withColumn("_d", F.sum(step).over(depth)).withColumn(
-        "_low", F.least(F.lit(0), F.min("_d").over(depth))).withColumn(
-        "_level", F.col("_d") - F.col("_low") + F.when(F.col("open"), 0).otherwise(1))
-    level = Window.partitionBy(key, "name", "_level", "_low").orderBy("start")
-    paired = placed.withColumn("_next", F.lead(F.struct("open", "start")).over(level))
-    return paired.where("open and not _next.open").select(
-        key, "name", F.col("end").alias("start"), F.col("_next.start").alias("end"),
-        (F.col("_level") - 1).cast("int").alias("depth"))
+    kind = markers.schema[key].dataType
+    shape = f"`{key}` {kind.simpleString()}, name string, start long, end long, depth int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, stack, begun = None, [], False
+        for batch in batches:
+            rows = []
+            for owner, name, opens, start, end in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if owner != of or not begun:
+                    of, stack, begun = owner, [], True
+                if opens:
+                    stack.append((name, end))
+                elif stack and stack[-1][0] == name:
+                    rows.append((owner, name, stack.pop()[1], start, len(stack)))
+            if rows:
+                owners, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(owners, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(
+                        rest, (pa.string(), pa.int64(), pa.int64(), pa.int32()))]], names=[key, "name", "start", "end", "depth"])
+
+    placed = markers.where("name is not null and start is not null").select(
+        key, "name", "open", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    return placed.repartition(key).sortWithinPartitions(key, "start", "end", "open", "name").mapInArrow(run, shape)
 
 
 def overlap_islands(hits: DataFrame, key: str = "doc_id") -> DataFrame:

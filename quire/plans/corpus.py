@@ -210,20 +210,41 @@ SELECT page_id, unnest(list_filter([
   lambda x: x IS NOT NULL)) AS "check" FROM pages"""
 
 
+# fixed values: elements that have no end tag
+VOID = "area base br col embed hr img input link meta source track wbr".split()
+TAG = "</?[A-Za-z][A-Za-z0-9]*(?:[ \\t\\n/][^>]*)?>"
+
+
+def _tags(spark, folder):
+    """Every start and end tag of a page as a marker of its name; elements without an end tag open nothing."""
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    marks = locate.find_spans(pages, TAG).withColumn("name", F.lower(F.regexp_extract("token", "[A-Za-z][A-Za-z0-9]*", 0)))
+    return marks.where(~F.col("name").isin(VOID) & ~F.col("token").endswith("/>")).select(
+        "doc_id", "name", (~F.col("token").startswith("</")).alias("open"), "start", "end")
+
+
 def paragraph_scopes(spark, folder):
-    """Elements of a page paired by nesting depth within their name."""
+    """Elements of all names, paired by one stack a page."""
     from quire.operators.spans import pair_scopes
 
-    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    marks = locate.find_spans(pages, "</?(?:ul|li|article|nav)>").select(
-        "doc_id", F.regexp_extract("token", "[a-z]+", 0).alias("name"), (~F.col("token").startswith("</")).alias("open"), "start", "end")
-    return pair_scopes(marks).groupBy("doc_id", "name").agg(F.count("*").alias("scopes"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    return pair_scopes(_tags(spark, folder)).groupBy("doc_id", "name").agg(
+        F.count("*").alias("scopes"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.max("depth").alias("deepest"))
 
 
-SCOPES_SQL = """
-SELECT page_id AS doc_id, name, count(*) AS scopes, CAST(sum(length(body)) AS BIGINT) AS chars FROM (
-  SELECT page_id, name, unnest(regexp_extract_all(html, '(?s)<' || name || '>(.*?)</' || name || '>', 1)) AS body
-  FROM pages, (SELECT unnest(['ul', 'li', 'article', 'nav']) AS name)) GROUP BY ALL"""
+SCOPES_SQL = f"""
+WITH RECURSIVE p AS (SELECT page_id, regexp_extract_all(html, '{TAG}') AS ms, string_split_regex(html, '{TAG}') AS gs FROM pages),
+t AS (SELECT page_id, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM p),
+a AS (SELECT page_id, i, ms[i] AS tag, length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS start FROM t),
+m AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, lower(regexp_extract(tag, '[A-Za-z][A-Za-z0-9]*')) AS name,
+        NOT starts_with(tag, '</') AS opens, start, start + length(tag) AS stop FROM a
+      WHERE NOT ends_with(tag, '/>') AND lower(regexp_extract(tag, '[A-Za-z][A-Za-z0-9]*')) NOT IN ({", ".join(f"'{v}'" for v in VOID)})),
+r AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(n VARCHAR, e BIGINT)[]) AS stack, CAST(NULL AS VARCHAR) AS name,
+        CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS depth FROM m
+  UNION ALL
+  SELECT m.page_id, m.i, CASE WHEN opens THEN list_append(stack, {{'n': m.name, 'e': m.stop}}) WHEN stack[-1].n = m.name THEN stack[1:len(stack) - 1] ELSE stack END,
+    CASE WHEN NOT opens AND stack[-1].n = m.name THEN m.name END, stack[-1].e, m.start, len(stack) - 1
+  FROM r JOIN m ON m.page_id = r.page_id AND m.i = r.i + 1)
+SELECT page_id AS doc_id, name, count(*) AS scopes, CAST(sum(b - a) AS BIGINT) AS chars, max(depth) AS deepest FROM r WHERE name IS NOT NULL GROUP BY ALL"""
 
 
 def scoped_marks(spark, folder):
@@ -260,34 +281,93 @@ SELECT a.path AS outer_path, b.path AS inner_path FROM k a JOIN k b ON a.path <>
 
 
 def _part_edges(spark, folder):
-    items = table(spark, folder, "lineitem").where("l_quantity > 46")
+    """Parts on neighbouring lines of an order, all of them."""
+    items = table(spark, folder, "lineitem")
     nxt = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return items.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src")).join(nxt, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
 
 
 E = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity > 46 AND b.l_quantity > 46)"""
+  AND b.l_linenumber = a.l_linenumber + 1)"""
 
 
 def cyclic_parts(spark, folder):
-    return graphs.cyclic_nodes(_part_edges(spark, folder))
+    """Parts on a cycle of neighbouring lines, with the least part of their component."""
+    return graphs.components(_part_edges(spark, folder))
+
+
+C = f"""{E}, w AS (SELECT src AS a, dst AS b FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON w.b = e.src),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+CYCLIC_SQL = f"WITH RECURSIVE {C} SELECT node, component FROM c"
+
+
+def part_cycles(spark, folder):
+    """A shortest cycle through the least part of each component."""
+    edges = _part_edges(spark, folder).checkpoint()
+    found = graphs.cycles(edges, graphs.components(edges))
+    return found.select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
 
 
-CYCLIC_SQL = f"""
-WITH RECURSIVE {E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
-c AS (SELECT DISTINCT a FROM r WHERE a = b)
-SELECT DISTINCT node FROM (SELECT a AS node FROM c UNION ALL SELECT r.b FROM r JOIN c ON r.a = c.a)"""
+PART_CYCLES_SQL = f"""
+WITH RECURSIVE {C}, i AS (SELECT src, dst, a.component FROM e JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.component = b.component),
+d(component, node, depth) USING KEY (component, node) AS (SELECT DISTINCT component, component, 0 FROM c
+  UNION SELECT i.component, i.dst, min(d.depth) + 1 FROM d JOIN i ON i.component = d.component AND i.src = d.node
+    LEFT JOIN recurring.d o ON o.component = i.component AND o.node = i.dst WHERE o.node IS NULL GROUP BY i.component, i.dst),
+p AS (SELECT i.component, i.dst, min(i.src) AS src FROM i JOIN d x ON x.component = i.component AND x.node = i.src
+  JOIN d y ON y.component = i.component AND y.node = i.dst AND x.depth = y.depth - 1 GROUP BY ALL),
+l AS (SELECT i.component, min((d.depth, i.src)) AS e FROM i JOIN d ON d.component = i.component AND d.node = i.src WHERE i.dst = i.component GROUP BY i.component),
+k AS (SELECT component, e[2] AS here, CAST(e[2] AS VARCHAR) AS cycle FROM l
+  UNION ALL SELECT k.component, p.src, p.src || ',' || k.cycle FROM k JOIN p ON p.component = k.component AND p.dst = k.here WHERE k.here <> k.component)
+SELECT component, cycle FROM k WHERE here = component"""
 
 
 def reachable_parts(spark, folder):
-    edges = _part_edges(spark, folder)
-    return graphs.closure(edges, edges.where("src < 50").select(F.col("src").alias("node")))
+    """Parts reached from the least part of each brand, with the fewest steps."""
+    return graphs.closure(_part_edges(spark, folder), table(spark, folder, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("node")))
 
 
 REACH_SQL = f"""
-WITH RECURSIVE {E}, r AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src < 50
-  UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 60)
-SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node"""
+WITH RECURSIVE {E}, r(node, depth) USING KEY (node) AS (SELECT DISTINCT min(p_partkey), 0 FROM part GROUP BY p_brand
+  UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON r.node = e.src LEFT JOIN recurring.r o ON o.node = e.dst WHERE o.node IS NULL GROUP BY e.dst)
+SELECT node, depth FROM r"""
+
+
+def _contents(spark, folder):
+    """What a region holds: its nations, their customers, their orders, the parts of these, in order."""
+    name = lambda kind, column: F.concat(F.lit(kind), F.col(column).cast("string"))
+    rows = [("nation", name("r", "n_regionkey"), name("n", "n_nationkey"), F.col("n_nationkey")),
+            ("customer", name("n", "c_nationkey"), name("c", "c_custkey"), F.col("c_custkey")),
+            ("orders", name("c", "o_custkey"), name("o", "o_orderkey"), F.col("o_orderkey")),
+            ("lineitem", name("o", "l_orderkey"), name("p", "l_partkey"), F.col("l_linenumber") * F.lit(1 << 40) + F.col("l_partkey"))]
+    out = None
+    for source, src, dst, order in rows:
+        part = table(spark, folder, source).select(src.alias("src"), dst.alias("dst"), order.cast("bigint").alias("ord"))
+        out = part if out is None else out.unionByName(part)
+    return graphs.ordered_closure(out, table(spark, folder, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")))
+
+
+def region_contents(spark, folder):
+    """Everything below a region in the order of first visits, with the ways that lead there."""
+    way = F.array_join(F.transform("first", lambda x: x.cast("string")), "/")
+    return _contents(spark, folder)[0].select("root", "node", way.alias("first"), F.col("visits").cast("bigint").alias("visits"), "depth")
+
+
+def region_closures(spark, folder):
+    """The gate of each region's closure: 32 levels and 128 visits are stated, and nothing is cut."""
+    return graphs.closure_gate(_contents(spark, folder)[1], 32, 128).select(
+        "root", "cyclic", "sources", F.col("visits").cast("bigint").alias("visits"), "deepest", "state")
+
+
+W = """s AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, CAST(n_nationkey AS BIGINT) AS ord FROM nation
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders
+  UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, l_linenumber * 1099511627776 + l_partkey FROM lineitem),
+w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, CAST([] AS BIGINT[]) AS way FROM region
+  UNION ALL SELECT w.root, s.dst, list_append(w.way, s.ord) FROM w JOIN s ON s.src = w.node)"""
+CONTENTS_SQL = f"""WITH RECURSIVE {W}
+SELECT root, node, array_to_string(min(way), '/') AS first, count(*) AS visits, CAST(min(len(way)) AS INTEGER) AS depth FROM w GROUP BY ALL"""
+CLOSURES_SQL = f"""WITH RECURSIVE {W}
+SELECT root, false AS cyclic, count(DISTINCT node) AS sources, count(*) AS visits, CAST(max(len(way)) AS INTEGER) AS deepest,
+  CASE WHEN max(len(way)) + 1 > 32 THEN 'too-deep' WHEN count(*) > 128 THEN 'too-many' ELSE 'ok' END AS state FROM w GROUP BY root"""
 
 QUERIES = {
     "term_hits": Query(longs(term_hits, "start", "line", "col"), f"SELECT doc_id, key, start, line, col FROM {H}", "TRM-3"),
@@ -306,9 +386,12 @@ QUERIES = {
     "page_references": Query(page_references, f"SELECT page_id, ref, count(*) AS n, CAST(min(place) AS INTEGER) AS place FROM {R} GROUP BY ALL", "TXT-4"),
     "admitted_references": Query(admitted_references, ADMITTED_SQL, "TXT-5 RUL-20"),
     "page_rules": Query(page_rules, PAGE_RULES_SQL, "RUL-14 RUL-15 RUL-16 RUL-17 RUL-19"),
-    "paragraph_scopes": Query(paragraph_scopes, SCOPES_SQL, "IVL-4"),
+    "paragraph_scopes": Query(longs(paragraph_scopes, "deepest"), SCOPES_SQL, "IVL-4"),
     "scoped_marks": Query(scoped_marks, SCOPED_SQL, "IVL-3"),
     "nested_addresses": Query(nested_addresses, NESTED_SQL, "IVL-8"),
     "cyclic_parts": Query(cyclic_parts, CYCLIC_SQL, "REC-7"),
+    "part_cycles": Query(part_cycles, PART_CYCLES_SQL, "REC-7"),
     "reachable_parts": Query(reachable_parts, REACH_SQL, "REC-21"),
+    "region_contents": Query(region_contents, CONTENTS_SQL, "REC-21"),
+    "region_closures": Query(region_closures, CLOSURES_SQL, "REC-21"),
 }

@@ -72,13 +72,29 @@ def test_nested_paths(spark):
     assert got == {("/", "/a"), ("/", "/A/"), ("/", "/a/b"), ("/", "/ab"), ("/A/", "/a"), ("/a", "/a/b"), ("/A/", "/a/b")}
 
 
-def test_scopes_pair_by_depth(spark):
-    text = "<u><u></u></u></u><u><p></u>"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    marks = locate.find_spans(docs, "</?[up]>").select("doc_id", F.regexp_extract("token", "[up]", 0).alias("name"),
-                                                      (~F.col("token").startswith("</")).alias("open"), "start", "end")
-    got = sorted((r.start, r.end, r.depth) for r in spans.pair_scopes(marks).where("name = 'u'").collect())
-    assert got == [(3, 10, 0), (6, 6, 1), (21, 24, 0)]
+def stack_pairs(marks):
+    """Scopes of one text by a plain stack."""
+    stack, out = [], []
+    for name, opens, start, end in marks:
+        if opens:
+            stack.append((name, end))
+        elif stack and stack[-1][0] == name:
+            out.append((name, stack.pop()[1], start, len(stack)))
+    return out
+
+
+def test_scopes_pair_by_stack(spark):
+    """Crossing names, surplus closers, openers that stay open, null keys and names."""
+    rng = random.Random(6)
+    texts = {1: "<u><u></u></u></u><u><p></u>", 2: "<a><b></a></b>", 3: "</a></b><a></a><b>", None: "<u></u>", 4: ""}
+    texts |= {i: "".join(rng.choice(["<a>", "</a>", "<b>", "</b>", "<c>", "</c>", "x"]) for _ in range(60)) for i in range(10, 30)}
+    rows = [(d, m[0].strip("</>"), not m[0].startswith("</"), m.start(), m.end()) for d, t in texts.items() for m in re.finditer("</?[abcup]>", t)]
+    frame = spark.createDataFrame([*rows, (1, None, True, 2, 3)], "doc_id long, name string, open boolean, start int, end int").repartition(5)
+    got = sorted((str(r.doc_id), r.name, r.start, r.end, r.depth) for r in spans.pair_scopes(frame).collect())
+    assert got == sorted((str(d), *s) for d in texts for s in stack_pairs([r[1:] for r in rows if r[0] == d]))
+    assert [g[1:] for g in got if g[0] == "2"] == [("b", 6, 10, 1)]
+    assert sorted(g[1:] for g in got if g[0] == "1") == [("u", 3, 10, 0), ("u", 6, 6, 1)]
+    assert spans.pair_scopes(frame.limit(0)).count() == 0
 
 
 def test_overlaps_longest_first(spark):
@@ -126,6 +142,6 @@ def test_patch_refuses_whole_batches(spark):
 
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (5, 1), (6, 6)], "src long, dst long")
-    assert sorted(r.node for r in graphs.cyclic_nodes(edges).collect()) == [2, 3, 4, 6]
+    assert sorted(r.node for r in graphs.cyclic_nodes(edges).collect()) == [2, 3, 6]
     found = graphs.closure(edges, spark.createDataFrame([(5,)], "node long"))
     assert sorted((r.node, r.depth) for r in found.collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 0)]
