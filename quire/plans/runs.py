@@ -28,13 +28,18 @@ IDLE_SQL = f"""SELECT user_id, strftime(min(ts), {FORMAT}) AS started, strftime(
 FROM {S} GROUP BY user_id, k"""
 
 
-def session_deadlines(spark, folder):
-    found = runs.deadlines(runs.idle_sessions(_events(spark, folder), "6 hours"), "6 hours", "4 hours")
-    return found.groupBy("user_id", "reason").agg(F.count("*").alias("sessions"))
+def run_deadlines(spark, folder):
+    """Runs that end a day after their last event or thirty hours after their first, whichever comes first."""
+    return _plain(runs.wall_runs(_events(spark, folder), "24 hours", "30 hours"), "started", "ended")
 
 
-DEADLINE_SQL = f"""SELECT user_id, CASE WHEN b - a > INTERVAL 4 HOUR THEN 'wall' ELSE 'idle' END AS reason, count(*) AS sessions
-FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM {S} GROUP BY user_id, k) GROUP BY ALL"""
+RUNS_SQL = f"""
+WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+r AS (SELECT user_id, i, ts AS began, ts AS last FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN o.ts >= least(r.began + INTERVAL 30 HOUR, r.last + INTERVAL 24 HOUR) THEN o.ts ELSE r.began END, o.ts
+  FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, strftime(began, {FORMAT}) AS started, strftime(least(began + INTERVAL 30 HOUR, max(last) + INTERVAL 24 HOUR), {FORMAT}) AS ended,
+  count(*) AS events, CASE WHEN began + INTERVAL 30 HOUR <= max(last) + INTERVAL 24 HOUR THEN 'wall' ELSE 'idle' END AS reason FROM r GROUP BY user_id, began"""
 
 
 def output_budget(spark, folder):
@@ -93,7 +98,7 @@ SELECT user_id, count(*) AS breaks, max(highest) AS highest FROM t WHERE o_order
 
 QUERIES = {
     "idle_sessions": Query(idle_sessions, IDLE_SQL, "STR-1"),
-    "session_deadlines": Query(session_deadlines, DEADLINE_SQL, "STR-2"),
+    "run_deadlines": Query(run_deadlines, RUNS_SQL, "STR-2"),
     "output_budget": Query(output_budget, BUDGET_SQL, "STR-3"),
     "severe_events": Query(severe_events, SEVERE_SQL, "STR-4"),
     "sequence_breaks": Query(sequence_breaks, BREAKS_SQL, "STR-5"),

@@ -1,6 +1,8 @@
 """Streams give the rows of their batch forms."""
 
+import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,14 +51,55 @@ def test_budget(spark, replay, tmp_path):
     assert got == rows(runs.byte_budget(events, F.col("size"), 60).select("user_id", "event_id", "used"))
 
 
-def test_upsert(spark, replay, tmp_path):
-    path = str(tmp_path / "table")
-    query = replay().writeStream.foreachBatch(runs.upsert_latest(path, "user_id", "ts")).option(
-        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert not query.exception()
-    events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    want = events.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "table").iterdir() if p.is_dir())
-    assert len(versions) == 3
-    assert rows(spark.read.parquet(f"{path}/version={versions[-1]}").select("user_id", "event_id")) == rows(want)
+def plain_runs(times, idle, wall):
+    """Runs of sorted times in microseconds, event by event."""
+    out = []
+    for t in times:
+        if out and t < min(out[-1][0] + wall, out[-1][1] + idle):
+            out[-1][1:] = [t, out[-1][2] + 1]
+        else:
+            out.append([t, t, 1])
+    return [(a, min(a + wall, b + idle), n, "wall" if a + wall <= b + idle else "idle") for a, b, n in out]
+
+
+def micros(df):
+    return sorted((str(r.user_id), r.a, r.b, r.events, r.reason) for r in df.select(
+        "user_id", F.unix_micros("started").alias("a"), F.unix_micros("ended").alias("b"), "events", "reason").collect())
+
+
+@pytest.mark.parametrize("width", ["30 days", "3 seconds"])
+def test_wall_runs(spark, width):
+    rng = random.Random(3)
+    times = {u: sorted(rng.randrange(40) for _ in range(rng.choice([1, 5, 60]))) for u in (None, 1, 2, 3, 4)}
+    times[5] = list(range(200))  # a long chain: one run after the other
+    rows = [(u, i, datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=t)) for u, ts in times.items() for i, t in enumerate(ts)]
+    events = spark.createDataFrame([*rows, (1, 99, None)], "user_id long, event_id long, at timestamp").repartition(3)
+    base = int(datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC).timestamp()) * 1_000_000
+    want = sorted((str(u), base + a, base + b, n, why) for u, ts in times.items() for a, b, n, why in plain_runs([t * 1_000_000 for t in ts], 4_000_000, 7_000_000))
+    assert micros(runs.wall_runs(events, "4 seconds", "7 seconds", width)) == want
+    assert {w[4] for w in want} == {"idle", "wall"}
+    assert runs.wall_runs(events.limit(0), "4 seconds", "7 seconds").count() == 0
+
+
+def test_wall_runs_stream(spark, replay, tmp_path):
+    events = runs.stamped(spark.read.parquet(f"{FOLDER}/events.parquet"))
+    got = micros(run(runs.stream_wall_runs(runs.stamped(replay()), "24 hours", "30 hours", "1 hour"), "walls", tmp_path))
+    want = micros(runs.wall_runs(events, "24 hours", "30 hours"))
+    third = events.select(F.unix_micros("at").alias("t")).orderBy("t").collect()
+    passed = third[len(third) // 2]["t"] - 3_600_000_000  # the watermark after two of three files lies beyond
+    assert set(got) <= set(want) and len(set(got)) == len(got)
+    assert {w for w in want if w[2] < passed} <= set(got) and {w[4] for w in got} == {"idle", "wall"}
+
+
+def test_orphans_stream(spark, tmp_path):
+    day = lambda s: datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)
+    files = [[("s", "a", None, day(0)), ("s", "b", "a", day(5)), ("s", "c", "x", day(6)), ("s", "b", "a", day(5)), ("t", "d", "a", day(7))],
+             [("s", "late", "after", day(30)), ("s", "after", None, day(31)), ("s", "e", "c", day(32))], [("z", "end", None, day(500))], [("z", "end2", None, day(900))]]
+    shape = "scope string, id string, parent string, at timestamp"
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, shape).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        for file in (tmp_path / "in" / f"{i}").glob("part-*"):
+            os.utime(file, (i * 3600, i * 3600))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = run(runs.stream_orphans(stream, "10 seconds", "60 seconds"), "orphans", tmp_path)
+    assert sorted((r.scope, r.id) for r in got.collect()) == [("s", "c"), ("s", "late"), ("t", "d")]
