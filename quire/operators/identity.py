@@ -28,13 +28,20 @@ def collisions(df: DataFrame, body: str) -> DataFrame:
                       F.count("*").alias("rows")).select("sha256", "rows", ((F.col("lo") != F.col("hi")) | (F.col("a") != F.col("b"))).alias("collides"))
 
 
+def _both(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, a, b, in_a, in_b``: the largest value of each side by key; null keys equal each other."""
+    part = lambda t, side: t.select(
+        key, *[F.when(F.lit(s == side), F.struct(F.col(value).alias("v"))).alias(f"_{s}") for s in "ab"])
+    return part(before, "a").unionByName(part(after, "b")).groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")).select(
+        key, F.col("_a.v").alias("a"), F.col("_b.v").alias("b"), F.col("_a").isNotNull().alias("in_a"), F.col("_b").isNotNull().alias("in_b"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """``added``, ``removed``, ``changed`` or ``same`` for every key of either snapshot."""
-    a = before.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))
-    b = after.select(key, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
-    status = (F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed")
-              .when(F.col("_a").eqNullSafe(F.col("_b")), "same").otherwise("changed"))
-    return a.join(b, key, "full_outer").select(key, status.alias("status"))
+    """``added``, ``removed``, ``changed`` or ``same`` for every key of either snapshot. A null key is a key; of
+    rows that repeat a key in a snapshot the largest value counts; null values are equal."""
+    status = (F.when(~F.col("in_a"), "added").when(~F.col("in_b"), "removed")
+              .when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed"))
+    return _both(before, after, key, value).select(key, status.alias("status"))
 
 
 def derived_collisions(df: DataFrame, key: str, derived: Column) -> DataFrame:
@@ -79,7 +86,7 @@ def admit_budget(df: DataFrame, group: list[str], order: list[str], size: str, m
 
 
 def merge_revisions(known: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:
-    """Both tables by key: the known value stays; another observed value is a conflict."""
-    b = observed.select(key, F.col(value).alias("_b"))
-    return known.select(key, F.col(value).alias("_a")).join(b, key, "full_outer").select(
-        key, F.coalesce("_a", "_b").alias(value), F.coalesce(F.col("_a") != F.col("_b"), F.lit(False)).alias("conflict"))
+    """Both tables by key: the known value stays; another observed value is a conflict. A null key is
+    a key; a null value on either side is no conflict."""
+    return _both(known, observed, key, value).select(
+        key, F.coalesce("a", "b").alias(value), F.coalesce(F.col("a") != F.col("b"), F.lit(False)).alias("conflict"))

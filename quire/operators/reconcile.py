@@ -1,22 +1,35 @@
-"""Reconciliation: expectations against evidence, as joins and gates over whole tables."""
+"""Reconciliation: expectations against evidence, as sums over whole tables.
+
+Two sides are put together and summed by key, so null keys are keys that equal each other, repeated rows
+are counted, and a key that holds a third of all rows is pre-aggregated where it is read. An empty side
+lacks every key of the other. Where a result names further columns, inputs may have any others.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.scan import running
+
+
+def _sides(keys: list[str], **tables: DataFrame) -> DataFrame:
+    """Every key of the tables with the number of rows each one has for it, as ``_<name>``."""
+    parts = [t.select(*keys, *[F.lit(int(n == name)).cast("bigint").alias(f"_{n}") for n in tables]) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in tables])
+
 
 def missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected keys with no evidence."""
-    return expected.select(keys).distinct().join(found.select(keys), keys, "left_anti")
+    """Expected keys with no evidence, each once."""
+    return _sides(keys, e=expected, f=found).where("_e > 0 and _f = 0").select(*keys)
 
 
 def set_equal(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one side has, with the side that lacks them."""
-    a = expected.select(keys).distinct().withColumn("_a", F.lit(True))
-    b = actual.select(keys).distinct().withColumn("_b", F.lit(True))
-    return a.join(b, keys, "full_outer").where("_a is null or _b is null").select(
-        *keys, F.when(F.col("_a").isNull(), "unexpected").otherwise("missing").alias("status"))
+    return _sides(keys, e=expected, a=actual).where("_e = 0 or _a = 0").select(
+        *keys, F.when(F.col("_e") == 0, "unexpected").otherwise("missing").alias("status"))
 
 
 def bad_names(df: DataFrame, column: str, most_bytes: int) -> DataFrame:
@@ -32,20 +45,33 @@ def bad_names(df: DataFrame, column: str, most_bytes: int) -> DataFrame:
 def coverage(expected: DataFrame, claims: DataFrame, key: str) -> DataFrame:
     """``missing``, ``covered`` or ``repeated`` for each expected key by its number of claims, and
     ``unknown`` for claims of no expected key."""
-    counted = claims.groupBy(key).agg(F.count("*").alias("claims"))
-    wanted = expected.select(key).distinct().withColumn("_wanted", F.lit(True))
-    status = (F.when(F.col("_wanted").isNull(), "unknown").when(F.col("claims").isNull(), "missing")
-              .when(F.col("claims") == 1, "covered").otherwise("repeated"))
-    return wanted.join(counted, key, "full_outer").select(
-        key, F.coalesce("claims", F.lit(0).cast("bigint")).alias("claims"), status.alias("status"))
+    status = (F.when(F.col("_w") == 0, "unknown").when(F.col("_c") == 0, "missing")
+              .when(F.col("_c") == 1, "covered").otherwise("repeated"))
+    return _sides([key], w=expected, c=claims).select(key, F.col("_c").alias("claims"), status.alias("status"))
 
 
 def reciprocal(ab: DataFrame, ba: DataFrame, a: str, b: str) -> DataFrame:
     """Relations that only one direction states."""
-    left = ab.select(a, b).distinct().withColumn("_l", F.lit(True))
-    right = ba.select(a, b).distinct().withColumn("_r", F.lit(True))
-    return left.join(right, [a, b], "full_outer").where("_l is null or _r is null").select(
-        a, b, F.when(F.col("_l").isNull(), "backward").otherwise("forward").alias("only"))
+    return _sides([a, b], l=ab, r=ba).where("_l = 0 or _r = 0").select(
+        a, b, F.when(F.col("_l") == 0, "backward").otherwise("forward").alias("only"))
+
+
+def relations(ab: DataFrame, ba: DataFrame, a: str, b: str, known_a: DataFrame, known_b: DataFrame) -> DataFrame:
+    """``a, b, forward, backward, state`` of every relation that ``ab(a, <b>s)`` or ``ba(b, <a>s)`` states, whose second
+    columns are arrays of ids.
+
+    ``dangling`` if an end is not known, else ``one-sided`` if a direction lacks it, else ``repeated`` if a
+    direction states it more than once, else ``mutual``. Both tables are exploded once and summed
+    together; known ids join the sums. A null array states nothing; a null id is never known.
+    """
+    left = ab.select(a, F.explode(ab.columns[1]).alias(b))
+    right = ba.select(F.explode(ba.columns[1]).alias(a), b)
+    summed = _sides([a, b], f=left, r=right)
+    ka, kb = (k.select(F.col(k.columns[0]).alias(c)).distinct().withColumn(f"_k{c}", F.lit(True)) for k, c in ((known_a, a), (known_b, b)))
+    state = (F.when(F.col(f"_k{a}").isNull() | F.col(f"_k{b}").isNull(), "dangling").when((F.col("_f") == 0) | (F.col("_r") == 0), "one-sided")
+             .when((F.col("_f") > 1) | (F.col("_r") > 1), "repeated").otherwise("mutual"))
+    return summed.join(ka, a, "left").join(kb, b, "left").select(
+        a, b, F.col("_f").alias("forward"), F.col("_r").alias("backward"), state.alias("state"))
 
 
 def scope_matrix(dims: list[DataFrame], cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,11 +79,9 @@ def scope_matrix(dims: list[DataFrame], cells: DataFrame, keys: list[str]) -> Da
     required = dims[0]
     for d in dims[1:]:  # a handful of rows each
         required = required.crossJoin(F.broadcast(d))
-    counted = cells.groupBy(*keys).agg(F.count("*").alias("reports"))
-    status = (F.when(F.col("_r").isNull(), "unexpected").when(F.col("reports").isNull(), "missing")
-              .when(F.col("reports") == 1, "once").otherwise("repeated"))
-    return required.withColumn("_r", F.lit(True)).join(counted, keys, "full_outer").select(
-        *keys, F.coalesce("reports", F.lit(0).cast("bigint")).alias("reports"), status.alias("status"))
+    status = (F.when(F.col("_r") == 0, "unexpected").when(F.col("_c") == 0, "missing")
+              .when(F.col("_c") == 1, "once").otherwise("repeated"))
+    return _sides(keys, r=required.distinct(), c=cells).select(*keys, F.col("_c").alias("reports"), status.alias("status"))
 
 
 def sequence_contract(events: DataFrame, scope: str, sequence: str) -> DataFrame:
@@ -68,13 +92,39 @@ def sequence_contract(events: DataFrame, scope: str, sequence: str) -> DataFrame
         scope, "n", ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("distinct") == F.col("n"))).alias("ordered"))
 
 
+def event_contract(events: DataFrame, first: int = 1, width: int = 1024) -> DataFrame:
+    """``scope, id, faults`` of events ``scope, id, parent, sequence, passed``: what each event's place breaks.
+
+    - ``duplicate``: the scope has the id more than once.
+    - ``gap``: the sequence before it is missing in the scope; the first is ``first``.
+    - ``orphan``: its parent has no event in the scope; a null parent is the scope's owner.
+    - ``early``: its parent comes at the same place or later.
+    - ``failed``: an event of the id did not pass; null counts as not passed.
+
+    Of repeated ids the first place and parent count. The place of the parent is joined to that of the
+    child; sequences are scanned in ranges of ``width``, so a scope with very many events is spread. Events with a null scope,
+    id or sequence can't be placed and are left out.
+    """
+    one = events.where("scope is not null and id is not null and sequence is not null").groupBy("scope", "id").agg(
+        F.min_by("parent", F.struct("sequence", "parent")).alias("parent"), F.min("sequence").alias("sequence"), F.count("*").alias("_n"),
+        F.bool_and(F.coalesce("passed", F.lit(False))).alias("_passed"))
+    steps = one.select("scope", "sequence").distinct()
+    before = running(steps, ["scope"], ["sequence"], {"_b": ("max", F.col("sequence"))}, F.floor(F.col("sequence") / width), inclusive=False)
+    above = one.select("scope", F.col("id").alias("parent"), F.col("sequence").alias("_p"))
+    placed = one.join(before, ["scope", "sequence"]).join(above, ["scope", "parent"], "left")
+    faults = {"duplicate": F.col("_n") > 1, "gap": F.col("sequence") > F.coalesce(F.col("_b"), F.lit(first - 1)) + 1,
+              "orphan": F.col("parent").isNotNull() & F.col("_p").isNull(), "early": F.col("_p") >= F.col("sequence"), "failed": ~F.col("_passed")}
+    return placed.select("scope", "id", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()])).alias("faults"))
+
+
 def latest_attempt(jobs: DataFrame, name: Column, attempt: list[str]) -> DataFrame:
-    """The last attempt of each case-insensitive name, and how many rows share its generation."""
-    keyed = jobs.withColumn("_key", F.lower(name))
-    best = F.max(F.struct(*attempt, F.struct(*[c for c in jobs.columns if c not in attempt]).alias("_rest")))
-    top = keyed.groupBy("_key").agg(best.alias("_b"), F.count("*").alias("attempts"))
+    """The last attempt of each case-insensitive name, how many rows the name has, and whether it is
+    ``refused``: a generation that comes twice leaves open which row is its result, even an old one."""
     rest = [c for c in jobs.columns if c not in attempt]
-    return top.select(F.col("_key").alias("key"), "attempts", *[F.col(f"_b.{c}").alias(c) for c in attempt],
+    once = jobs.withColumn("_key", F.lower(name)).groupBy("_key", *attempt).agg(
+        F.max(F.struct(*rest)).alias("_rest"), F.count("*").alias("_n"))
+    top = once.groupBy("_key").agg(F.max(F.struct(*attempt, "_rest")).alias("_b"), F.sum("_n").alias("attempts"), (F.max("_n") > 1).alias("refused"))
+    return top.select(F.col("_key").alias("key"), "attempts", "refused", *[F.col(f"_b.{c}").alias(c) for c in attempt],
                       *[F.col(f"_b._rest.{c}").alias(c) for c in rest])
 
 
@@ -95,11 +145,12 @@ def stale(approvals: DataFrame, current: DataFrame, key: str, value: str) -> Dat
 
 
 def crosswalk(items: DataFrame, sources: dict[str, DataFrame], key: str) -> DataFrame:
-    """One independent state column per source: its state for the item, else ``not-performed``."""
-    out = items.select(key)
+    """One independent state column per source: its state for the item, else ``not-performed``; a
+    source that has several states for a key is ``ambiguous`` there. Each key once."""
+    out = items.select(key).distinct()
     for name, table in sources.items():
-        out = out.join(table.select(key, F.col("state").alias(name)), key, "left").withColumn(
-            name, F.coalesce(name, F.lit("not-performed")))
+        one = table.groupBy(key).agg(F.when(F.count_distinct("state") > 1, "ambiguous").otherwise(F.max("state")).alias(name)).withColumnRenamed(key, "_k")
+        out = out.join(one, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn(name, F.coalesce(name, F.lit("not-performed")))
     return out
 
 

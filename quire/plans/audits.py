@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import reconcile
 from quire.plans.base import Query, table
 
 
@@ -50,22 +51,23 @@ SHARED_SQL = "SELECT sha256(text) AS sha256, count(DISTINCT source) AS sources,
 
 
 def nation_scopes(spark, folder):
-    """A supplier's scope is its nation, or every nation of its region when its balance is negative;
-    the scopes that no customer with a large order is in."""
+    """A customer's scope is its nation, or every nation of its region when its balance is negative; the
+    nations of that scope that none of its suppliers is in."""
     nations = table(spark, folder, "nation")
-    suppliers = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     peers = nations.groupBy("n_regionkey").agg(F.collect_set("n_nationkey").alias("all"))
-    scopes = suppliers.join(peers, "n_regionkey").select("s_suppkey", F.explode(
-        F.when(F.col("s_acctbal") < 0, F.col("all")).otherwise(F.array("s_nationkey"))).alias("nation"))
-    served = table(spark, folder, "orders").where("o_totalprice > 498000").join(
-        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation")).distinct()
-    return scopes.join(served, "nation", "left_anti")
+    scopes = customers.join(peers, "n_regionkey").select("c_custkey", F.explode(
+        F.when(F.col("c_acctbal") < 0, F.col("all")).otherwise(F.array("c_nationkey"))).alias("nation"))
+    served = table(spark, folder, "orders").join(table(spark, folder, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(
+        table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.col("o_custkey").alias("c_custkey"), F.col("s_nationkey").alias("nation"))
+    return reconcile.missing(scopes, served, ["c_custkey", "nation"])
 
 
 SCOPES_SQL = """
-WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN m.n_nationkey ELSE s_nationkey END AS nation FROM supplier
-  JOIN nation n ON s_nationkey = n.n_nationkey JOIN nation m ON m.n_regionkey = n.n_regionkey)
-SELECT DISTINCT s_suppkey, nation FROM s WHERE nation NOT IN (SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 498000)"""
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN m.n_nationkey ELSE c_nationkey END AS nation FROM customer
+  JOIN nation n ON c_nationkey = n.n_nationkey JOIN nation m ON m.n_regionkey = n.n_regionkey
+EXCEPT SELECT o_custkey, s_nationkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey"""
 
 
 def allowed_parents(spark, folder):

@@ -174,25 +174,27 @@ FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN c ON c.doc_id = d.doc_i
 
 
 def mutual_supply(spark, folder):
-    """Nations that buy from a nation which doesn't buy from them."""
-    items = table(spark, folder, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_suppkey")
-    trade = items.join(table(spark, folder, "orders"), items["l_orderkey"] == F.col("o_orderkey")).join(
-        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
-        table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"))
-    return reconcile.reciprocal(trade, trade.select(F.col("b").alias("a"), F.col("a").alias("b")), "a", "b")
+    """Parts and suppliers by two lists of ids: what lines in the first half of an order say of a part's
+    suppliers, against what the later lines say of a supplier's parts. Suppliers in debt aren't known."""
+    items = table(spark, folder, "lineitem")
+    ab = items.where("l_linenumber <= 3").groupBy("l_partkey").agg(F.collect_list("l_suppkey"))
+    ba = items.where("l_linenumber > 3").groupBy("l_suppkey").agg(F.collect_list("l_partkey"))
+    return reconcile.relations(ab, ba, "l_partkey", "l_suppkey", table(spark, folder, "part").select("p_partkey"),
+                               table(spark, folder, "supplier").where("s_acctbal >= 0").select("s_suppkey"))
 
 
 MUTUAL_SQL = """
-WITH t AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49)
-SELECT a, b, 'forward' AS only FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.a = t.b AND u.b = t.a)
-UNION ALL SELECT b, a, 'backward' FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.a = t.b AND u.b = t.a)"""
+WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+f AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+r AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL)
+SELECT p.l_partkey, p.l_suppkey, coalesce(f.n, 0) AS forward, coalesce(r.n, 0) AS backward,
+  CASE WHEN p.l_partkey NOT IN (SELECT p_partkey FROM part) OR p.l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) THEN 'dangling'
+       WHEN f.n IS NULL OR r.n IS NULL THEN 'one-sided' WHEN f.n > 1 OR r.n > 1 THEN 'repeated' ELSE 'mutual' END AS state
+FROM p LEFT JOIN f USING (l_partkey, l_suppkey) LEFT JOIN r USING (l_partkey, l_suppkey)"""
 
 
 def nation_priority_matrix(spark, folder):
-    orders = table(spark, folder, "orders").where("o_totalprice > 400000").join(
-        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     cells = orders.select("c_nationkey", "o_orderpriority")
     dims = [table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey")),
             table(spark, folder, "orders").select("o_orderpriority").distinct()]
@@ -201,12 +203,55 @@ def nation_priority_matrix(spark, folder):
 
 MATRIX_SQL = """
 WITH r AS (SELECT n_nationkey, p FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders)),
-c AS (SELECT c_nationkey, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000 GROUP BY ALL)
+c AS (SELECT c_nationkey, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 SELECT coalesce(n_nationkey, c_nationkey) AS c_nationkey, coalesce(p, o_orderpriority) AS o_orderpriority, coalesce(n, 0) AS reports,
   CASE WHEN n_nationkey IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'once' ELSE 'repeated' END AS status
 FROM r FULL JOIN c ON n_nationkey = c_nationkey AND p = o_orderpriority"""
 
 
+def supply_matrix(spark, folder):
+    """Every nation with a solvent supplier should supply every size of every brand."""
+    sold = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")).join(
+        table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    dims = [table(spark, folder, "supplier").where("s_acctbal >= 0").select("s_nationkey").distinct(),
+            table(spark, folder, "part").select("p_brand").distinct(), table(spark, folder, "part").select("p_size").distinct()]
+    return reconcile.scope_matrix(dims, sold.select("s_nationkey", "p_brand", "p_size"), ["s_nationkey", "p_brand", "p_size"])
+
+
+SUPPLY_SQL = """
+WITH r AS (SELECT s_nationkey, p_brand, p_size FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal >= 0),
+  (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_size FROM part)),
+c AS (SELECT s_nationkey, p_brand, p_size, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+SELECT s_nationkey, p_brand, p_size, coalesce(n, 0) AS reports,
+  CASE WHEN q IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'once' ELSE 'repeated' END AS status
+FROM (SELECT *, 1 AS q FROM r) FULL JOIN c USING (s_nationkey, p_brand, p_size)"""
+
+
+def line_contract(spark, folder):
+    """Lines as events of an order: each follows the line before it, shipped earlier, and is not returned."""
+    items = table(spark, folder, "lineitem")
+    day = F.datediff("l_shipdate", F.lit("1970-01-01"))
+    events = items.select(F.col("l_orderkey").alias("scope"), F.col("l_linenumber").alias("id"), F.when(
+        F.col("l_linenumber") > 1, F.col("l_linenumber") - 1).alias("parent"), F.col("l_linenumber").alias("sequence"), (F.col("l_returnflag") != "R").alias("passed"))
+    shipped = items.select(F.col("l_orderkey").alias("scope"), F.col("l_linenumber").alias("id"), F.when(
+        F.col("l_linenumber") > 1, F.col("l_linenumber") - 1).alias("parent"), day.alias("sequence"), F.lit(True).alias("passed"))
+    placed = reconcile.event_contract(events).select("scope", "id", F.array_join("faults", ",").alias("faults"))
+    # by ship date only the parent's place is judged: days have gaps
+    early = reconcile.event_contract(shipped).where(F.array_contains("faults", "early")).select(
+        F.col("scope").alias("_s"), F.col("id").alias("_i"), F.lit(True).alias("early"))
+    return placed.join(early, (F.col("scope") == F.col("_s")) & (F.col("id") == F.col("_i")), "left").select(
+        F.col("scope").alias("l_orderkey"), F.col("id").alias("l_linenumber"), "faults", F.coalesce("early", F.lit(False)).alias("early"))
+
+
+LINE_CONTRACT_SQL = """
+WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, bool_and(l_returnflag <> 'R') AS passed,
+             min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS shipped FROM lineitem GROUP BY ALL)
+SELECT g.l_orderkey, g.l_linenumber, array_to_string(list_filter([CASE WHEN g.n > 1 THEN 'duplicate' END,
+    CASE WHEN g.l_linenumber > 1 AND p.n IS NULL THEN 'gap' END, CASE WHEN g.l_linenumber > 1 AND p.n IS NULL THEN 'orphan' END,
+    CASE WHEN NOT g.passed THEN 'failed' END], lambda x: x IS NOT NULL), ',') AS faults, coalesce(p.shipped >= g.shipped, false) AS early
+FROM g LEFT JOIN g p ON p.l_orderkey = g.l_orderkey AND p.l_linenumber = g.l_linenumber - 1"""
+
+
 def turn_sequences(spark, folder):
     return reconcile.sequence_contract(table(spark, folder, "conversations"), "conv_id", "turn")
 
@@ -216,35 +261,37 @@ FROM conversations GROUP BY conv_id"""
 
 
 def latest_orders(spark, folder):
+    """The last day a customer ordered; a day with two orders leaves its result open and is refused."""
     jobs = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         "c_name", "o_orderdate", "o_orderkey", "o_orderstatus")
     state = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "pending").otherwise("error")
-    return reconcile.latest_attempt(jobs, F.col("c_name"), ["o_orderdate", "o_orderkey"]).select(
-        "key", "attempts", "o_orderkey", state.alias("state"))
+    return reconcile.latest_attempt(jobs, F.col("c_name"), ["o_orderdate"]).select(
+        "key", "attempts", "refused", "o_orderkey", state.alias("state"))
 
 
 LATEST_SQL = """
-SELECT lower(c_name) AS key, count(*) AS attempts, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
+WITH j AS (SELECT lower(c_name) AS key, o_orderdate, o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY lower(c_name), o_orderdate) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT key, count(*) AS attempts, max(n) > 1 AS refused, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
   CASE max_by(o_orderstatus, (o_orderdate, o_orderkey)) WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending' ELSE 'error' END AS state
-FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY lower(c_name)"""
+FROM j GROUP BY key"""
 
 
 def status_rollup(spark, folder):
-    """Worst line state of each order over its first three line numbers; an absent one is an error."""
+    """Worst line state of each order over every line number up to its last; an absent one is an error."""
     items = table(spark, folder, "lineitem")
-    required = items.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("l_linenumber"))
+    required = items.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n")).select(
+        "l_orderkey", F.explode(F.sequence(F.lit(1), "n")).alias("l_linenumber"))
     state = F.when(F.col("l_linestatus") == "O", "pending").when(F.col("l_returnflag") == "R", "failure").otherwise("success")
     results = items.groupBy("l_orderkey", "l_linenumber").agg(F.max(state).alias("state"))
     return reconcile.worst_of(required, results, ["l_orderkey"], "l_linenumber", "state")
 
 
 ROLLUP_SQL = """
-WITH r AS (SELECT DISTINCT l_orderkey, unnest([1, 2]) AS n FROM lineitem),
-s AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linestatus = 'O' THEN 'pending' WHEN l_returnflag = 'R' THEN 'failure' ELSE 'success' END) AS state
+WITH s AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linestatus = 'O' THEN 'pending' WHEN l_returnflag = 'R' THEN 'failure' ELSE 'success' END) AS state
       FROM lineitem GROUP BY ALL),
-j AS (SELECT r.l_orderkey, CASE state WHEN 'success' THEN 0 WHEN 'pending' THEN 1 WHEN 'failure' THEN 2 ELSE 3 END AS k
-      FROM r LEFT JOIN s ON s.l_orderkey = r.l_orderkey AND s.l_linenumber = r.n)
-SELECT l_orderkey, ['success', 'pending', 'failure', 'error'][max(k) + 1] AS worst FROM j GROUP BY l_orderkey"""
+j AS (SELECT l_orderkey, count(*) < max(l_linenumber) AS absent, max(CASE state WHEN 'success' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END) AS k FROM s GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN absent THEN 'error' ELSE ['success', 'pending', 'failure'][k + 1] END AS worst FROM j"""
 
 
 def stale_approvals(spark, folder):
@@ -343,15 +390,17 @@ QUERIES = {
     "name_collisions": Query(name_collisions, NAMES_SQL, "IDN-6"),
     "patched_turns": Query(patched_turns, PATCH_SQL, "IDN-7"),
     "reviewed_documents": Query(reviewed_documents, REVIEWS_SQL, "IDN-8"),
-    "byte_budget": Query(byte_budget, BUDGET_SQL, "IDN-9 SRC-1"),
+    "byte_budget": Query(byte_budget, BUDGET_SQL, "IDN-9"),
     "merged_revisions": Query(merged_revisions, REVISIONS_SQL, "IDN-10"),
     "first_line_aliases": Query(first_line_aliases, ALIASES_SQL, "IDN-11"),
     "orders_without_lines": Query(orders_without_lines, MISSING_SQL, "REC-1"),
     "part_suppliers": Query(part_suppliers, SETS_SQL, "REC-2"),
     "bad_first_lines": Query(bad_first_lines, BAD_SQL, "REC-3"),
-    "label_coverage": Query(label_coverage, COVERAGE_SQL, "REC-8 REC-20"),
+    "label_coverage": Query(label_coverage, COVERAGE_SQL, "REC-8"),
     "mutual_supply": Query(mutual_supply, MUTUAL_SQL, "REC-6"),
     "nation_priority_matrix": Query(nation_priority_matrix, MATRIX_SQL, "REC-10"),
+    "supply_matrix": Query(supply_matrix, SUPPLY_SQL, "REC-10"),
+    "line_contract": Query(line_contract, LINE_CONTRACT_SQL, "REC-12 STR-5"),
     "turn_sequences": Query(turn_sequences, SEQUENCE_SQL, "REC-12"),
     "latest_orders": Query(latest_orders, LATEST_SQL, "REC-13 REC-14"),
     "summary_agreement": Query(summary_agreement, SUMMARY_SQL, "REC-16"),
