@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
-from quire.operators import graphs, locate, survival, terms
+from quire.operators import graphs, locate, references, survival, terms
 from quire.plans.base import Query, hits_sql, longs, table
 
 WORD = "[A-Za-z]+"
@@ -116,20 +116,36 @@ SELECT item_id, doc_id, count(*) AS found FROM a JOIN b USING (probe) GROUP BY A
 
 
 def order_verdicts(spark, folder):
-    """Items against copies of themselves: as they are, mirrored, or with their words reversed."""
-    items = table(spark, folder, "benchmark").select("item_id", F.array_join(F.regexp_extract_all("text", F.lit(survival.LETTERS), 0), " ").alias("text"))
-    hay = F.when(F.col("item_id") % 4 == 0, F.reverse("text")).when(
-        F.col("item_id") % 4 == 1, F.array_join(F.reverse(F.split("text", " ")), " ")).when(F.col("item_id") % 4 == 2, F.lit("")).otherwise(F.col("text"))
-    probes = survival.distinct_probes(survival.probe_windows(items, "item_id", "text", 40), "item_id")
-    return survival.verdict(survival.order_votes(probes, "item_id", items.select("item_id", hay.alias("hay"))))
+    """Benchmark probes against all documents: found as they are, or with characters or words reversed."""
+    windows = survival.probe_windows(table(spark, folder, "benchmark"), "item_id", "text", 40)
+    probes = survival.distinct_probes(windows, "item_id")
+    return survival.verdict(survival.order_votes(probes, "item_id", table(spark, folder, "documents"), "doc_id", "text"))
 
 
 VERDICTS_SQL = f"""WITH {TOK.format(t='benchmark', k='item_id')},
 p AS (SELECT DISTINCT k AS item_id, probe FROM ({P.format(t='benchmark', k='item_id')})),
-n AS (SELECT item_id, count(*) AS probes FROM p GROUP BY 1)
-SELECT item_id, probes, CASE WHEN item_id % 4 = 3 THEN probes ELSE 0 END AS forward, CASE WHEN item_id % 4 = 0 THEN probes ELSE 0 END AS mirrored,
-  CASE WHEN item_id % 4 = 1 THEN probes ELSE 0 END AS reversed,
-  CASE item_id % 4 WHEN 3 THEN 'logical' WHEN 2 THEN 'inconclusive' ELSE 'visual' END AS verdict FROM n"""
+n AS (SELECT item_id, count(*) AS probes FROM p GROUP BY 1),
+f AS (SELECT item_id, probe, replace(probe, ' ', '') AS a, reverse(replace(probe, ' ', '')) AS b, array_to_string(list_reverse(string_split(probe, ' ')), '') AS c FROM p),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\x{{200e}}\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}]', '', 'g'), '\\s+', '', 'g') AS hay FROM documents),
+v AS (SELECT item_id, doc_id, contains(hay, a) AS x, b <> a AND contains(hay, b) OR c <> a AND contains(hay, c) AS y FROM f, d
+      WHERE contains(hay, a) OR contains(hay, b) OR contains(hay, c)),
+g AS (SELECT item_id, doc_id, count(*) FILTER (WHERE x AND NOT y) AS forward, count(*) FILTER (WHERE y AND NOT x) AS backward FROM v GROUP BY ALL)
+SELECT g.item_id, doc_id, probes, forward, backward, CASE WHEN backward > forward THEN 'visual' WHEN forward > backward THEN 'logical' ELSE 'inconclusive' END AS verdict,
+  CASE WHEN backward > forward THEN 'failed' WHEN forward > backward THEN 'passed' ELSE 'inconclusive' END AS gate FROM g JOIN n ON n.item_id = g.item_id"""
+
+
+def probe_budget(spark, folder):
+    """What the windows of each document would cost, and whether that is within the stated limit."""
+    return survival.probe_cost(table(spark, folder, "documents"), "doc_id", "text", 40)
+
+
+PROBE_BUDGET_SQL = f"""WITH {TOK.format(t='documents', k='doc_id')},
+w AS (SELECT a.doc_id, a.i, min(b.i) - a.i + 1 AS n FROM documents_tok a JOIN documents_tok b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 39
+  AND b.c - a.c + length(a.w) >= 40 GROUP BY a.doc_id, a.i),
+c AS (SELECT doc_id, sum(n) AS entries FROM w GROUP BY doc_id)
+SELECT d.doc_id, len(ts) AS tokens, CAST(len(ts) + coalesce(entries, 0) AS BIGINT) AS steps, len(ts) + coalesce(entries, 0) <= 2000000 AS admitted
+FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z\\x{{c0}}-\\x{{24f}}]+') AS ts FROM documents) d LEFT JOIN c ON c.doc_id = d.doc_id"""
+
 
 HIDDEN = "".join(f"<{t}[^>]*>.*?</{t}>|" for t in K.TEXT_EXCLUDED_TAGS) + "<!--.*?-->"
 BREAKS = f"</?(?:{'|'.join(K.BREAK_TAGS)})(?:[ />][^>]*)?>"
@@ -167,32 +183,64 @@ def page_references(spark, folder):
 R = """(SELECT page_id, unnest(r) AS ref, unnest(range(0, len(r))) AS place FROM (SELECT page_id, regexp_extract_all(html, '(?i)(?:href|src)="([^"]*)"', 1) AS r FROM pages))"""
 
 
-def admitted_references(spark, folder):
-    """References with a scheme or authority are refused; others lose query and fragment and are
-    looked up among the first words of the pages' titles."""
-    refs = _references(spark, folder).select("page_id", "ref").distinct()
-    path = F.regexp_replace(F.regexp_replace("ref", "[?#].*$", ""), "^/", "")
-    names = table(spark, folder, "pages").select(F.regexp_extract("html", "<title>([^ <]+)", 1).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    joined = refs.withColumn("path", path).join(names, "path", "left")
-    state = F.when(F.col("ref").rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"), "refused").when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("missing")
-    return joined.select("page_id", "ref", state.alias("state"))
+EXTENSIONS = [".html", ".htm", ".txt"]
 
 
-ADMITTED_SQL = f"""
-WITH r AS (SELECT DISTINCT page_id, ref, regexp_replace(regexp_replace(ref, '[?#].*$', ''), '^/', '') AS path FROM {R}),
-n AS (SELECT regexp_extract(html, '<title>([^ <]+)', 1) AS path, count(*) AS n FROM pages GROUP BY 1)
-SELECT page_id, ref, CASE WHEN regexp_matches(ref, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') THEN 'refused' WHEN n = 1 THEN 'resolved'
-  WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM r LEFT JOIN n ON n.path = r.path"""
+def _files(spark, folder):
+    """Pages as files: the first word of the title, with an extension by the form of the address."""
+    word = F.regexp_extract("html", "<title>([^ <]+)", 1)
+    kind = F.when(F.contains("url", F.lit("?")), ".html").when(F.contains("url", F.lit("#")), ".htm").when(F.col("url").endswith("/"), ".txt").otherwise("")
+    return table(spark, folder, "pages").select(references.normal_path(F.concat(word, kind)).alias("path"))
+
+
+def _resolved(spark, folder):
+    base = F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)?/", 1)
+    pages = table(spark, folder, "pages").select("page_id", base.alias("base"))
+    return references.resolve(_references(spark, folder).select("page_id", "ref").distinct().join(pages, "page_id"), _files(spark, folder), EXTENSIONS, "base")
+
+
+def admitted_references(spark, folder):
+    """References of pages, decoded and cleaned of dot segments, against pages as files with candidate extensions."""
+    return _resolved(spark, folder).select("page_id", "ref", "path", "state", "file")
+
+
+def reference_gaps(spark, folder):
+    """References that no single file answers, and files that nothing refers to."""
+    found = _resolved(spark, folder)
+    bad = found.where("state <> 'resolved'").groupBy("ref", "state").agg(F.count("*").alias("pages"))
+    return bad.unionByName(references.unreferenced(_files(spark, folder), found).select(
+        F.col("file").alias("ref"), F.lit("unreferenced").alias("state"), F.lit(0).cast("bigint").alias("pages")))
+
+
+_NORMAL = """list_reduce(list_concat([['/']], list_transform(list_filter(string_split({}, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x])),
+  lambda acc, x: CASE WHEN x[1] <> '..' THEN list_concat(acc, x) WHEN len(acc) > 1 THEN acc[1:len(acc) - 1] ELSE ['out', 'out'] END)"""
+A = f"""
+r AS (SELECT DISTINCT x.page_id, ref, coalesce(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?/', 1), '') AS base FROM {R} x JOIN pages p ON p.page_id = x.page_id),
+c AS (SELECT *, regexp_replace(ref, '[?#].*$', '') AS bare FROM r),
+n AS (SELECT page_id, ref, CASE WHEN NOT regexp_matches(ref, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') AND regexp_full_match(bare, '(?:[^%]|%[0-9A-Fa-f]{{2}})*') THEN
+    {_NORMAL.format("CASE WHEN starts_with(bare, '/') THEN url_decode(bare) ELSE base || '/' || url_decode(bare) END")} END AS parts FROM c),
+m AS (SELECT page_id, ref, CASE WHEN parts[1] = '/' THEN '/' || array_to_string(parts[2:], '/') END AS path FROM n),
+f AS (SELECT DISTINCT '/' || array_to_string(parts[2:], '/') AS file FROM (SELECT {_NORMAL.format("regexp_extract(html, '<title>([^ <]+)', 1) || CASE WHEN contains(url, '?') THEN '.html' WHEN contains(url, '#') THEN '.htm' WHEN ends_with(url, '/') THEN '.txt' ELSE '' END")} AS parts FROM pages)),
+h AS (SELECT path, count(*) AS n, min_by(file, length(file)) AS file FROM (SELECT DISTINCT path FROM m) JOIN f ON file = path
+    OR NOT regexp_matches(path, '[^/]\.[^./]+$') AND file IN (path || '.html', path || '.htm', path || '.txt') GROUP BY path),
+s AS (SELECT page_id, ref, m.path, CASE WHEN m.path IS NULL THEN 'refused' WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state,
+    CASE WHEN n = 1 THEN file END AS file FROM m LEFT JOIN h ON h.path = m.path)"""
+ADMITTED_SQL = f"WITH {A} SELECT * FROM s"
+GAPS_SQL = f"""WITH {A} SELECT ref, state, count(*) AS pages FROM s WHERE state <> 'resolved' GROUP BY ALL
+UNION ALL SELECT file, 'unreferenced', 0 FROM f WHERE file NOT IN (SELECT file FROM s WHERE file IS NOT NULL)"""
 
 
 def page_rules(spark, folder):
-    """Root, print style, inline style, bookmark and image rules of each page, by flat patterns."""
+    """Root, print style, flipped artwork, bookmark and image rules of each page, by flat patterns.
+
+    The bookmark rule: marks in a heading while nothing in the page turns bookmarks off.
+    """
     html = F.col("html")
     found = {
         "html-root": F.regexp_count(html, F.lit("""(?i)<html[^>]*lang="[a-z]+\"""")) != 1,
         "print-css": F.contains(html, F.lit("<style")) & ~F.contains(html, F.lit("@media print")),
-        "inline-style": html.rlike("(?i)<[a-z]+[^>]* style="),
-        "bookmark-guard": F.contains(html, F.lit("<b>")) & ~F.contains(html, F.lit("</b>")),
+        "mirrored-image": html.rlike(r"scaleX\(\s*-1\s*\)"),
+        "bookmark-guard": html.rlike("(?i)<h[1-6][^>]*>[^<]*[#*$%&|]{3}") & ~html.rlike("(?i)<meta[^>]*name=\"bookmark"),
         "missing-image": html.rlike("(?i)<img") & ~html.rlike("(?i)<img[^>]*src="),
         "code-direction": html.rlike("(?i)<(?:pre|code)") & ~html.rlike("(?i)<(?:pre|code)[^>]*dir=")}
     checks = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()]))
@@ -203,8 +251,8 @@ PAGE_RULES_SQL = """
 SELECT page_id, unnest(list_filter([
   CASE WHEN len(regexp_extract_all(html, '(?i)<html[^>]*lang="[a-z]+"')) <> 1 THEN 'html-root' END,
   CASE WHEN contains(html, '<style') AND NOT contains(html, '@media print') THEN 'print-css' END,
-  CASE WHEN regexp_matches(html, '(?i)<[a-z]+[^>]* style=') THEN 'inline-style' END,
-  CASE WHEN contains(html, '<b>') AND NOT contains(html, '</b>') THEN 'bookmark-guard' END,
+  CASE WHEN regexp_matches(html, 'scaleX\\(\\s*-1\\s*\\)') THEN 'mirrored-image' END,
+  CASE WHEN regexp_matches(html, '(?i)<h[1-6][^>]*>[^<]*[#*$%&|]{3}') AND NOT regexp_matches(html, '(?i)<meta[^>]*name="bookmark') THEN 'bookmark-guard' END,
   CASE WHEN regexp_matches(html, '(?i)<img') AND NOT regexp_matches(html, '(?i)<img[^>]*src=') THEN 'missing-image' END,
   CASE WHEN regexp_matches(html, '(?i)<(?:pre|code)') AND NOT regexp_matches(html, '(?i)<(?:pre|code)[^>]*dir=') THEN 'code-direction' END],
   lambda x: x IS NOT NULL)) AS "check" FROM pages"""
@@ -379,12 +427,14 @@ QUERIES = {
     "corpus_drift": Query(corpus_drift, CORPUS_DRIFT_SQL, "TRM-10"),
     "term_usage": Query(term_usage, USAGE_SQL, "TRM-11"),
     "benchmark_probes": Query(benchmark_probes, PROBES_SQL, "ORD-1 ORD-2"),
+    "probe_budget": Query(probe_budget, PROBE_BUDGET_SQL, "ORD-3"),
     "order_verdicts": Query(order_verdicts, VERDICTS_SQL, "ORD-4 ORD-5 ORD-6"),
     "passage_survival": Query(passage_survival, SURVIVAL_SQL, "ORD-7"),
     "page_text": Query(longs(page_text, "chars"), PAGE_SQL, "TXT-1"),
     "structure_census": Query(longs(structure_census, "n_p", "n_a", "n_li", "n_h1", "n_div", "n_b"), CENSUS_SQL, "TXT-3"),
     "page_references": Query(page_references, f"SELECT page_id, ref, count(*) AS n, CAST(min(place) AS INTEGER) AS place FROM {R} GROUP BY ALL", "TXT-4"),
-    "admitted_references": Query(admitted_references, ADMITTED_SQL, "TXT-5 RUL-20"),
+    "admitted_references": Query(admitted_references, ADMITTED_SQL, "TXT-5"),
+    "reference_gaps": Query(reference_gaps, GAPS_SQL, "RUL-20"),
     "page_rules": Query(page_rules, PAGE_RULES_SQL, "RUL-14 RUL-15 RUL-16 RUL-17 RUL-19"),
     "paragraph_scopes": Query(longs(paragraph_scopes, "deepest"), SCOPES_SQL, "IVL-4"),
     "scoped_marks": Query(scoped_marks, SCOPED_SQL, "IVL-3"),
