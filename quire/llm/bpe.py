@@ -13,6 +13,7 @@ import functools
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import batches, pieces, read_table
 
-# Words kept per Python worker; when full, the table starts anew. It bounds memory, not results.
-KEPT_WORDS = 200_000
-# Words longer than this many bytes are encoded each time and not kept.
+# Words kept per Python worker in each of two generations; a full one becomes the old one, and old
+# words move to the new one when they are asked for again. It bounds memory, not results.
+KEPT_WORDS = 150_000
+# Words longer than this many characters are encoded each time and not kept.
 KEPT_BYTES = 64
 
 
@@ -43,8 +45,27 @@ def _byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
 
 
-class Encoder(dict):
-    """Ids of words, as bytes of 32-bit integers; encodes a word when it is first asked for."""
+class Kept(dict):
+    """Ids of strings as bytes of 32-bit integers, made by ``make`` when first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class Encoder(Kept):
+    """Ids of words; encodes a word when it is first asked for."""
 
     # fixed value: the published pattern that splits text before merging
     PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -61,40 +82,50 @@ class Encoder(dict):
         self.strings |= {i: t.encode() for t, i in self.special.items()}
         self.single = [ids[next(c for c, b in letters.items() if b == byte)] for byte in range(256)]
         merges = (m if isinstance(m, list) else m.split(" ") for m in stated["model"]["merges"])
-        self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        merges = [(ids[a], ids[b], ids[a + b]) for a, b in merges]
+        self.merged = [whole for _, _, whole in merges]
+        ranks: dict[int, dict[int, int]] = {}
+        for rank, (left, right, _) in enumerate(merges):
+            ranks.setdefault(left, {})[right] = rank
+        # rank of a symbol and the one to its right, and of two bytes that begin as symbols
+        self.rank = [ranks.get(i, {}).get for i in range(1 + max(ids.values()))]
+        self.byte_rank = [self.rank[a](b, -1) for a in self.single for b in self.single]
         self.split = regex.compile(self.PATTERN).findall
 
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode("utf-8")
-        ids = np.array(self.merge(data), "<i4").tobytes()
-        if len(data) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def make(self, word: str) -> bytes:
+        return array("i", self.merge(word.encode("utf-8"))).tobytes()
 
     def merge(self, data: bytes) -> list[int]:
+        """Symbols of a word. ``at`` holds the rank of the pair that begins at each living symbol;
+        a queue entry is a rank and a place in one number, stale once that place has another rank."""
+        n, first = len(data), self.byte_rank
         symbol = [self.single[b] for b in data]
-        n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks, queue = self.ranks, []
-        for i in range(n - 1):
-            found = ranks.get((symbol[i], symbol[i + 1]))
-            if found:
-                queue.append((found[0], i, symbol[i], symbol[i + 1]))
+        at = [first[a << 8 | b] for a, b in zip(data, data[1:])]
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        queue = [r << bits | i for i, r in enumerate(at) if r >= 0]
         heapq.heapify(queue)
+        at.append(-1)
+        before, after = list(range(-1, n)), list(range(1, n + 1))
+        pop, push, rank, merged = heapq.heappop, heapq.heappush, self.rank, self.merged
         while queue:
-            _, i, left, right = heapq.heappop(queue)
-            j = after[i]
-            if symbol[i] != left or j < 0 or symbol[j] != right:
+            entry = pop(queue)
+            i, r = entry & mask, entry >> bits
+            if at[i] != r:
                 continue  # stale: one of the two has been merged since
-            symbol[i], symbol[j] = ranks[left, right][1], -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (found := ranks.get((symbol[a], symbol[b]))):
-                    heapq.heappush(queue, (found[0], a, symbol[a], symbol[b]))
+            j = after[i]
+            k = after[i] = after[j]
+            before[k] = i
+            whole = symbol[i] = merged[r]
+            symbol[j] = at[j] = -1
+            r = at[i] = rank[whole](symbol[k], -1) if k < n else -1
+            if r >= 0:
+                push(queue, r << bits | i)
+            h = before[i]
+            if h >= 0:
+                r = at[h] = rank[symbol[h]](whole, -1)
+                if r >= 0:
+                    push(queue, r << bits | h)
         return [s for s in symbol if s >= 0]
 
     def run_ids(self, run: str) -> bytes:
@@ -108,24 +139,16 @@ class Encoder(dict):
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class Runs(dict):
+class Runs(Kept):
     """Ids of a run of visible characters with the blank before it, as bytes. Such a run never
     shares a token with the next one, so its ids can be kept whole."""
 
     def __init__(self, run_ids: Callable[[str], bytes], special: dict[str, int]):
         super().__init__()
-        self.run_ids, self.special = run_ids, special
+        self.make, self.special = run_ids, special
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split
         self.runs = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}]|\\Z)|[{WHITE}]").findall
 
-    def __missing__(self, run: str) -> bytes:
-        ids = self.run_ids(run)
-        if len(run) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[run] = ids
-        return ids
-
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text; a special token's own string becomes its id."""
         if not text:
@@ -187,8 +210,26 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, ids, decoded``: encoded and decoded from the ids in one pass, so that ids travel once."""
+    vocabulary = vocabulary or default_vocabulary()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, strings = merged_runs(vocabulary), encoder(vocabulary)
+        for whole in rows:
+            for batch in pieces(whole):
+                found = [own.encode(t) for t in batch.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32) // 4
+                ids = np.frombuffer(b"".join(found), "<i4")
+                yield batches({
+                    "doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
+                    "decoded": pa.array([strings.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    rows = decode_documents(encode_documents(read_table(spark, folder, "documents")))
+    rows = round_trip(read_table(spark, folder, "documents"))
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select(
         "doc_id",
