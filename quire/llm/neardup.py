@@ -22,6 +22,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +57,10 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
             out = []
             for row in batch.column("embedding").to_pylist():
                 v = np.array([np.nan if x is None else x for x in row or ()], np.float64)
-                norm = np.sqrt((v * v).sum()) if np.isfinite(v).all() else 0.0
-                out.append((v / norm).tobytes() if norm > 0 and np.isfinite(norm) else None)
+                most = np.abs(v).max(initial=0.0) if np.isfinite(v).all() else 0.0
+                # scaled first, so that no square over- or underflows
+                v = v / most if most > 0 else v
+                out.append((v / np.sqrt((v * v).sum())).tobytes() if most > 0 else None)
             yield batches({"vec_id": batch.column("vec_id"), "v": pa.array(out, pa.binary())})
 
     units = vectors.select("vec_id", "embedding").mapInArrow(unit, "vec_id long, v binary")
@@ -296,18 +299,21 @@ def _roots(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray) ->
             return label
 
 
-def audit(rows: DataFrame, grouped: DataFrame, seed: int) -> float:
-    """Share of the sampled nodes with links whose links all lie within the components; the lower one
-    of nodes in components above ``LEAF``, which are hot, and of all others.
+def audit(rows: DataFrame, grouped: DataFrame, seed: int, near: DataFrame | None = None) -> float | None:
+    """Share of the sampled nodes with links whose links all lie within the components: the lowest one of
+    nodes in components above ``LEAF``, which are hot, of other nodes that a link has been found of, and of all others.
 
-    The sample of the others grows until ``LINKED`` of them have links or ``WIDEST`` are compared.
+    The sample of the others grows until ``LINKED`` of them have links or ``WIDEST`` are compared. None if no
+    sampled node has a link: then nothing has been measured.
     """
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).select("component")
     hot = save(grouped.join(sizes, "component").select("node"), "hot-nodes")
-    right, linked = _audited(rows.join(hot, "node", "left_semi"), rows, grouped, AUDIT, seed)
-    shares = [right / linked] if linked else []
-    rest, most = save(rows.join(hot, "node", "left_anti"), "other-nodes"), AUDIT
-    count = rest.count()
+    shares = [r / n for r, n in [_audited(rows.join(hot, "node", "left_semi"), rows, grouped, AUDIT, seed)] if n]
+    rest = save(rows.join(hot, "node", "left_anti"), "other-nodes")
+    if near is not None:
+        found = near.select("node").distinct()
+        shares += [r / n for r, n in [_audited(rest.join(found, "node", "left_semi"), rows, grouped, AUDIT, seed)] if n]
+    most, count = AUDIT, rest.count()
     while True:
         right, linked = _audited(rest, rows, grouped, most, seed)
         if linked >= LINKED or most >= min(count, WIDEST):
@@ -315,7 +321,7 @@ def audit(rows: DataFrame, grouped: DataFrame, seed: int) -> float:
         most *= 4
     drop(hot)
     drop(rest)
-    return min([*shares, right / linked] if linked else shares, default=1.0)
+    return min([*shares, *([right / linked] if linked else [])], default=None)
 
 
 def _audited(asked: DataFrame, rows: DataFrame, grouped: DataFrame, most: int, seed: int) -> tuple[int, int]:
@@ -367,7 +373,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 break
         near = lists.where(F.col("s") >= SIMILARITY - LOOSE)
         grouped = bridged(classes, near, components(near.select(F.col("node").alias("a"), F.col("near").alias("b"))))
-        if audit(rows, grouped, attempt) >= RECALL:
+        recall = audit(rows, grouped, attempt, near)
+        if recall is None and attempt:
+            # twice nothing was found by either search, and none of WIDEST nodes compared with all rows has a link
+            warnings.warn(f"near duplicates: recall not measured, no link among {min(count, WIDEST)} sampled nodes", stacklevel=2)
+            break
+        if recall is not None and recall >= RECALL:
             break
         trees, attempt = 2 * trees, attempt + 1
         if trees * LEAF >= count:

@@ -165,11 +165,12 @@ def statistic_rows(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Fit on labelled rows outside the held-out fold; returns the scorer of a table."""
-    chosen = labels.where(fold("doc_id", 5) != 0).where("quality is not null").select(
-        "doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit("quality"), "doc_id")).limit(MOST_ROWS)
+    """Fit on labelled rows outside the held-out fold; returns the scorer of a table. Of repeated ids
+    the largest label and the first text in order count; a null label is none."""
+    chosen = labels.where(fold("doc_id", 5) != 0).where("quality is not null").groupBy("doc_id").agg(
+        F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit("quality"), "doc_id")).limit(MOST_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
-    rows = statistic_rows(sample.dropDuplicates(["doc_id"])).join(F.broadcast(chosen), "doc_id").orderBy(
+    rows = statistic_rows(sample.groupBy("doc_id").agg(F.min("text").alias("text"))).join(F.broadcast(chosen), "doc_id").orderBy(
         "doc_id").select("quality", "x").collect()
     if not rows:
         flat = np.zeros((1, 2 ** DEPTH - 1))

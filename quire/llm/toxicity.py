@@ -136,16 +136,16 @@ def fit(pos: Sparse, unl: Sparse, prior: float, seed: int) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and base, fitted on labelled rows outside the held-out fold."""
-    learn = labels.where(fold("doc_id", 4) != 2).where("toxic is not null").select(
-        "doc_id", "toxic").dropDuplicates(["doc_id"])
+    """Weights and base, fitted on labelled rows outside the held-out fold. Of repeated ids the largest
+    label and the first text in order count; a null label is none."""
+    learn = labels.where(fold("doc_id", 4) != 2).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = learn.agg(F.count("*"), F.sum("toxic")).first()
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     chosen = learn.where("toxic = 1").orderBy(order).limit(MOST_POSITIVE).unionByName(
         learn.orderBy(order).limit(MOST_UNLABELLED).withColumn("toxic", F.lit(0)))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # the bounded sample travels as Arrow data and is never a list of Python numbers
-    rows = feature_rows(sample.select("doc_id", "text").dropDuplicates(["doc_id"])).join(
+    rows = feature_rows(sample.groupBy("doc_id").agg(F.min("text").alias("text"))).join(
         F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "slots").toArrow().sort_by(
         [("doc_id", "ascending"), ("toxic", "ascending")])
     pos = Sparse.of(rows.filter(pc.equal(rows["toxic"], 1)))

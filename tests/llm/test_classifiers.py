@@ -76,3 +76,18 @@ def test_statistics_of_two_texts_equal_those_of_each(spark):
     together = quality.statistics(pa.array(texts))
     apart = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
     assert np.allclose(together, apart) and together.shape == (4, len(quality.NAMES))
+
+
+def test_repeated_ids_give_one_model(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(50)]
+    texts = [(i % 80, " ".join(rng.choice(words, 30)) + (" vile" if i % 3 == 0 else "")) for i in range(200)]
+    labels = [(i % 80, int(i % 2 == 0), int(i % 3 == 0)) for i in range(160)]
+    found = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame(texts[::turn], "doc_id long, text string").repartition(3)
+        marks = spark.createDataFrame(labels[::turn], "doc_id long, quality int, toxic int").repartition(2)
+        weights, base = toxicity.train(docs, marks)
+        scores = sorted((r.doc_id, round(r.score, 9)) for r in quality.train(docs, marks)(docs).collect())
+        found.append((weights.tolist(), base, scores))
+    assert found[0] == found[1]

@@ -106,3 +106,21 @@ def test_empty(spark):
     assert neardup.all_rows(none).count() == 0
     bad = spark.createDataFrame([(4, None), (5, [0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.all_rows(bad).collect()) == [(4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_extreme_finite_vectors_link(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [0.0, 1e308]), (6, [0.0, 0.0]), (7, [float("inf"), 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.all_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_audit_without_links_measures_nothing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 64)))], "vec_id long, embedding array<double>")
+    classes = neardup.unit_vectors(vectors).withColumnRenamed("vec_id", "node")
+    rows = neardup._single(classes)
+    grouped = classes.select("node", classes["node"].alias("component"))
+    assert neardup.audit(rows, grouped, 0, spark.createDataFrame([], "node long, near long, s double")) is None
+    assert {r.n_links for r in neardup.all_rows(vectors).collect()} == {0}
