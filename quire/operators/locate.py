@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import let, running_max, running_sum
@@ -231,3 +231,51 @@ def translate_offsets(hits: DataFrame, offset_map: DataFrame, key: str = "doc_id
         )
         .drop("a0", "a1", "b0", "b1")
     )
+
+
+def replacement_map(docs: DataFrame, pattern: str, kept: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The offset map of replacing every match of ``pattern`` by ``kept`` characters; matches must not be empty."""
+    def pieces(hits: Column) -> Column:
+        lost = running_sum(F.transform(hits, lambda h: h["end"] - h["start"] - kept))
+        return let(lost, lambda gone: F.transform(hits, lambda h, i: F.struct(
+            h["start"].alias("from_start"), h["end"].alias("from_end"), (h["start"] - F.get(gone, i)).alias("to_start"),
+            (h["start"] - F.get(gone, i) + kept).alias("to_end"))))
+
+    return docs.select(key, F.explode(let(hit_offsets(F.col(text), pattern), pieces)).alias("p")).select(key, "p.*")
+
+
+def compose_maps(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One piecewise map for two that follow each other: offsets of the raw text to those of the last one.
+
+    A sweep over the breakpoints of both: those of ``second`` are moved back across ``first``, all are moved there across
+    both, and between two neighbours the way is either a shift or stands still, inside a piece of either map. Where it stands
+    still, and where a shift jumps, the new map has a piece. Pieces are ``from_start, from_end, to_start, to_end``,
+    half-open and in order, and must not overlap within a map; a text with no piece in either has none. Null keys are keys.
+    """
+    ends = lambda m: m.select(key, F.explode(F.array("from_start", "from_end")).alias("start"))
+    back = translate_offsets(ends(second), first, key, back=True).select(key, F.col("translated").alias("start"))
+    points = ends(first).unionByName(back).distinct()
+
+    def moved(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+        pieces = table.select(key, F.col("from_start").alias("_p0"), F.col("from_end").alias("_p1"), (F.col("to_end") == F.col("to_start")).alias("_e"))
+        held = asof(translate_offsets(rows, table, key), pieces, [key], "start", "_p0", ["_p0", "_p1", "_e"])
+        inside = F.coalesce(F.col("start") < F.col("_p1"), F.lit(False))
+        return held.withColumns({name: inside, f"{name}_empty": inside & F.col("_e")}).drop("_p0", "_p1", "_e")
+
+    once = moved(points, first, "still_a").withColumnsRenamed({"start": "raw", "translated": "start"})
+    twice = moved(once, second, "still_b").select(
+        key, "raw", F.col("translated").alias("to"), (F.col("still_a") | F.col("still_b")).alias("still"), F.coalesce("still_a_empty", F.lit(False)).alias("gone"))
+    order = Window.partitionBy(key).orderBy("raw")
+    near = twice.select("*", F.lead(F.struct("raw", "to")).over(order).alias("n"), F.lag(F.struct("raw", "to", "still")).over(order).alias("b"))
+    # where a shift would have led to, from the breakpoint before or from the start of the text
+    due = F.when(F.col("b").isNull(), F.col("raw")).when(F.col("b.still"), F.col("to")).otherwise(F.col("b.to") + F.col("raw") - F.col("b.raw"))
+    piece = lambda a, b, c, d: [a.alias("from_start"), b.alias("from_end"), c.alias("to_start"), d.alias("to_end")]
+    jumps = near.where(~F.col("still") & (due != F.col("to"))).select(key, *piece(F.col("raw"), F.col("raw"), due, F.col("to")))
+    # stretches that stand still at one place are one piece, but for leading ones of which the first map leaves nothing
+    opens = F.when(F.coalesce(~F.col("b.still") | (F.col("b.to") != F.col("to")), F.lit(True)), F.col("raw"))
+    runs = near.where("still").withColumn("_run", F.max(opens).over(order))
+    whole = runs.withColumn("_first", F.min(F.when(~F.col("gone"), F.col("raw"))).over(Window.partitionBy(key, "_run"))).withColumn(
+        "_own", F.when(F.col("raw") >= F.col("_first"), F.col("_first")).otherwise(F.col("raw")))
+    last = F.struct("raw", F.coalesce("n.raw", "raw").alias("f"), F.coalesce("n.to", "to").alias("t"))
+    still = whole.groupBy(key, "_own", "to").agg(F.max(last).alias("l")).select(key, *piece(F.col("_own"), F.col("l.f"), F.col("to"), F.col("l.t")))
+    return jumps.unionByName(still)

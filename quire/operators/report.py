@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 
 def group_findings(findings: DataFrame) -> DataFrame:
     """Findings per check and level, errors before warnings, then by check."""
-    counts = findings.groupBy("check", "level").agg(F.count("*").alias("findings"))
+    return group_counts(findings.groupBy("check", "level").agg(F.count("*").alias("findings")))
+
+
+def group_counts(counts: DataFrame) -> DataFrame:
+    """The same from ``check, level, findings``, one row for each check and level, a few."""
     place = Window.orderBy(F.col("level") != "error", "check", "level")
     return counts.withColumn("place", F.row_number().over(place))
 
 
-def top_per_group(findings: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
+def top_per_group(findings: DataFrame, group: list[str], order: list[str], limit: int, totals: DataFrame | None = None) -> DataFrame:
     """The first ``limit`` rows of each group, null groups included, with how many more there are.
 
     The rank filter is applied before the shuffle as well as after it, so a group that holds most
-    of the rows sends ``limit`` of them from each task. ``order`` should be total. The input is
-    read twice; hand a dear one over as a written table.
+    of the rows sends ``limit`` of them from each task. ``order`` should be total. Without ``totals`` of
+    each group, one row ``*group, total``, the input is read twice; hand a dear one over as a written table.
     """
     final = Window.partitionBy(*group).orderBy(*order)
     kept = findings.withColumn("place", F.row_number().over(final)).where(F.col("place") <= limit)
-    totals = findings.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.count("*").alias("total"))
+    if totals is None:
+        totals = findings.groupBy(*group).agg(F.count("*").alias("total"))
+    totals = totals.withColumnsRenamed({g: f"_g_{g}" for g in group})
     same = [kept[g].eqNullSafe(totals[f"_g_{g}"]) for g in group]
     return kept.join(totals, same).drop(*[f"_g_{g}" for g in group]).withColumn(
         "more", F.greatest(F.col("total") - limit, F.lit(0)))
@@ -30,9 +36,13 @@ def top_per_group(findings: DataFrame, group: list[str], order: list[str], limit
 
 def gate(findings: DataFrame, strict: bool = False) -> DataFrame:
     """One row of totals; fails on errors, or on warnings too when strict."""
-    totals = findings.agg(
-        F.count_if(F.col("level") == "error").alias("errors"),
-        F.count_if(F.col("level") == "warn").alias("warnings"))
+    return gate_counts(findings.select("level", F.lit(1).cast("bigint").alias("findings")), strict)
+
+
+def gate_counts(counts: DataFrame, strict: bool = False) -> DataFrame:
+    """The same from ``level, findings``."""
+    of = lambda level: F.coalesce(F.sum(F.when(F.col("level") == level, F.col("findings"))), F.lit(0).cast("bigint"))
+    totals = counts.agg(of("error").alias("errors"), of("warn").alias("warnings"))
     bad = (F.col("errors") > 0) | (F.lit(strict) & (F.col("warnings") > 0))
     return totals.withColumn("failed", bad)
 

@@ -110,6 +110,32 @@ SELECT doc_id, token, start AS raw, start - 2 * len(regexp_extract_all(substr(hi
        start AS back FROM ({hits_sql("documents", "doc_id", "text", CAPITALS)})"""
 
 
+MARKS = "(?:\\*{3}|%{3}|&{3}|\\${3}|#{3})"
+BLANKS = "[ ,]{2,}"
+
+
+def composed_offsets(spark, folder):
+    """Two normalisations in a row: marks go, then runs of blanks and commas shrink to one blank. Line breaks
+    of the raw text are moved to the final one by the composed map, and those of the final text back."""
+    frame = docs(spark, folder).select("doc_id", "text")
+    stripped = frame.withColumn("text", F.regexp_replace("text", MARKS, ""))
+    final = stripped.withColumn("text", F.regexp_replace("text", BLANKS, " "))
+    both = locate.compose_maps(locate.replacement_map(frame, MARKS, 0), locate.replacement_map(stripped, BLANKS, 1))
+    breaks = lambda f: locate.find_spans(f, "\n").select("doc_id", "start")
+    there = locate.translate_offsets(breaks(frame), both).withColumn("way", F.lit("there"))
+    back = locate.translate_offsets(breaks(final), both, back=True).withColumn("way", F.lit("back"))
+    return there.unionByName(back).select("doc_id", "way", "start", "translated")
+
+
+COMPOSED_SQL = f"""
+WITH d AS (SELECT doc_id, text AS a, regexp_replace(regexp_replace(text, '{MARKS}', '', 'g'), '{BLANKS}', ' ', 'g') AS b FROM documents),
+l AS (SELECT doc_id, string_split(a, chr(10)) AS x, string_split(b, chr(10)) AS y FROM d),
+k AS (SELECT doc_id, unnest(range(1, len(x))) AS i, x, y FROM l),
+p AS (SELECT doc_id, CAST(list_sum(list_transform(x[1:i], lambda s: length(s))) AS BIGINT) + i - 1 AS raw,
+             CAST(list_sum(list_transform(y[1:i], lambda s: length(s))) AS BIGINT) + i - 1 AS final FROM k)
+SELECT doc_id, 'there' AS way, raw AS start, final AS translated FROM p UNION ALL SELECT doc_id, 'back', final, raw FROM p"""
+
+
 def stay(items: DataFrame) -> DataFrame:
     day = F.datediff(F.col("l_shipdate"), F.lit("1970-01-01"))
     return items.select("l_suppkey", day.alias("start"), (day + F.col("l_quantity").cast("int")).alias("end"))
@@ -180,8 +206,15 @@ SELECT * FROM f WHERE "check" <> 'doubled-mark' OR NOT EXISTS (
   SELECT 1 FROM w WHERE w.doc_id = f.doc_id AND (w.line = f.line OR w.line + 1 = f.line))"""
 
 
+def rule_counts(frame: DataFrame) -> DataFrame:
+    """``check, level, findings`` of every rule that a text breaks: matches are counted where a text is read."""
+    sums = frame.agg(*[F.sum(F.regexp_count("text", F.lit(pattern))).alias(check) for check, _, pattern in RULES])
+    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(v).alias("level"), F.col(f"`{c}`").cast("bigint").alias("findings")) for c, v, _ in RULES])
+    return sums.select(F.explode(rows).alias("r")).select("r.*").where("findings > 0")
+
+
 def findings_report(spark, folder):
-    return report.group_findings(rule_hits(docs(spark, folder)))
+    return report.group_counts(rule_counts(docs(spark, folder)))
 
 
 REPORT_SQL = f"""
@@ -191,8 +224,9 @@ FROM ({RULES_SQL}) GROUP BY "check", level"""
 
 
 def findings_top(spark, folder):
-    return report.top_per_group(rule_hits(docs(spark, folder)).select("doc_id", "check", "start", "token"),
-                                ["check"], ["doc_id", "start"], 25)
+    frame = docs(spark, folder)
+    totals = rule_counts(frame).select("check", F.col("findings").alias("total"))
+    return report.top_per_group(rule_hits(frame).select("doc_id", "check", "start", "token"), ["check"], ["doc_id", "start"], 25, totals)
 
 
 TOP_SQL = f"""
@@ -202,7 +236,7 @@ SELECT *, greatest(total - 25, 0) AS more FROM f WHERE place <= 25"""
 
 
 def findings_gate(spark, folder):
-    return report.gate(rule_hits(docs(spark, folder)), strict=True)
+    return report.gate_counts(rule_counts(docs(spark, folder)), strict=True)
 
 
 GATE_SQL = f"""
@@ -210,6 +244,20 @@ SELECT count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE
        count(*) > 0 AS failed FROM ({RULES_SQL}) WHERE level IN ('error', 'warn')"""
 
 
+LETTER_MARK = "[À-ɏ][ \\t]?[,;?]|[,;][ \\t]?[À-ɏ]"
+
+
+def script_punctuation(spark, folder):
+    """Latin marks next to letters of another script."""
+    return locate.find_all(docs(spark, folder), LETTER_MARK).groupBy("doc_id", "line").agg(
+        F.count("*").alias("findings"), F.min("col").alias("first_col"))
+
+
+_LETTER_MARK = "[\\x{c0}-\\x{24f}][ \\t]?[,;?]|[,;][ \\t]?[\\x{c0}-\\x{24f}]"
+PUNCTUATION_SQL = f"""
+SELECT doc_id, line, count(*) AS findings, min(col) AS first_col FROM ({hits_sql("documents", "doc_id", "text", _LETTER_MARK)}) GROUP BY doc_id, line"""
+
+
 def findings_rendered(spark, folder):
     rows = rule_hits(docs(spark, folder)).where("check in ('symbol-run', 'mail-address')")
     return report.render_locations(rows, ["check", "line", "token"], ["doc_id", "start", "check"], 200)
@@ -327,6 +375,8 @@ QUERIES = {
     "located_marks": Query(longs(located_marks, "line", "last_col"), MARKS_SQL, "LOC-4"),
     "turn_provenance": Query(turn_provenance, PROVENANCE_SQL, "LOC-5"),
     "folded_offsets": Query(longs(folded_offsets, "raw"), FOLDED_SQL, "LOC-6"),
+    "composed_offsets": Query(longs(composed_offsets, "start", "translated"), COMPOSED_SQL, "LOC-6"),
+    "script_punctuation": Query(longs(script_punctuation, "line", "first_col"), PUNCTUATION_SQL, "RUL-5"),
     "merged_spans": Query(longs(merged_spans, "start", "end"), MERGED_SQL, "IVL-1"),
     "orders_inside": Query(orders_inside, INSIDE_SQL, "IVL-2"),
     "longest_forms": Query(longest_forms, LONGEST_SQL, "IVL-5"),
