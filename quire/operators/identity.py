@@ -5,9 +5,11 @@ Texts are hashed where they are scanned; only keys and hashes are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.scan import running
+
 
 def fingerprint(df: DataFrame, body: str) -> DataFrame:
     """Adds ``size`` in bytes and ``sha256`` of a body; equal bytes are equal in both."""
@@ -78,11 +80,16 @@ def review_gate(assets: DataFrame, reviews: DataFrame, key: str, flagged: Column
     return assets.join(known, key, "left").select(key, state.alias("state"))
 
 
-def admit_budget(df: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
+def admit_budget(df: DataFrame, group: list[str], order: list[str], size: str, most: int, width: int | None = None) -> DataFrame:
     """Rows with ``total``, the running size in order, and ``admitted``: every row up to the first
-    that exceeds the budget; the rest is refused, not dropped."""
-    running = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("total", F.sum(size).over(running)).withColumn("admitted", F.col("total") <= most)
+    that exceeds the budget; the rest is refused, not dropped.
+
+    ``order`` should be total. With ``width`` the first order column, a number, is scanned in ranges of that width,
+    so a group that holds a third of all rows is spread. A null size adds nothing; null groups are groups.
+    """
+    bucket = F.floor(F.col(order[0]) / width) if width else None
+    summed = running(df, group, order, {"total": ("sum", F.coalesce(F.col(size), F.lit(0)).cast("bigint"))}, bucket)
+    return summed.withColumn("admitted", F.col("total") <= most)
 
 
 def merge_revisions(known: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.scan import running
@@ -154,7 +154,9 @@ def crosswalk(items: DataFrame, sources: dict[str, DataFrame], key: str) -> Data
     return out
 
 
-def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds ``ordinal``, from one, and ``n`` of each ordered sequence."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn(
-        "n", F.count("*").over(Window.partitionBy(group)))
+def placed(df: DataFrame, group: str, order: list[str], width: int = 1024) -> DataFrame:
+    """Adds ``ordinal``, from one, and ``n`` of each ordered sequence. The first order column, a number, is scanned
+    in ranges of ``width``, so a sequence with very many rows is spread; rows that the order leaves equal may come in any order."""
+    counted = running(df.withColumn("_one", F.lit(1)), [group], order, {"ordinal": ("sum", F.col("_one"))}, F.floor(F.col(order[0]) / width)).drop("_one")
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"))
+    return counted.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")

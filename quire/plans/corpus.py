@@ -147,7 +147,7 @@ SELECT d.doc_id, len(ts) AS tokens, CAST(len(ts) + coalesce(entries, 0) AS BIGIN
 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z\\x{{c0}}-\\x{{24f}}]+') AS ts FROM documents) d LEFT JOIN c ON c.doc_id = d.doc_id"""
 
 
-HIDDEN = "".join(f"<{t}[^>]*>.*?</{t}>|" for t in K.TEXT_EXCLUDED_TAGS) + "<!--.*?-->"
+HIDDEN = "".join(f"<{t}(?:[ \t\n/][^>]*)?>.*?</{t}>|" for t in K.TEXT_EXCLUDED_TAGS) + "<!--.*?-->"
 BREAKS = f"</?(?:{'|'.join(K.BREAK_TAGS)})(?:[ />][^>]*)?>"
 
 

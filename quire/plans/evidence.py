@@ -121,7 +121,7 @@ FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
 
 def byte_budget(spark, folder):
     docs = table(spark, folder, "documents").select("source", "doc_id", F.octet_length("text").cast("bigint").alias("size"))
-    return identity.admit_budget(docs, ["source"], ["doc_id"], "size", 20_000).groupBy("source").agg(
+    return identity.admit_budget(docs, ["source"], ["doc_id"], "size", 20_000, 4096).groupBy("source").agg(
         F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("refused"))
 
 
