@@ -27,20 +27,6 @@ def brief_sources(spark, folder):
 SOURCES_SQL = "SELECT doc_id, sha256(text) AS sha256, regexp_full_match(lang, '[a-z]{2}(?:-[A-Za-z0-9]{2,8})*') AS valid FROM documents"
 
 
-def census_audit(spark, folder):
-    """Labels against documents: unknown, repeated, pending and placed ids, per quality."""
-    docs = table(spark, folder, "documents").select("doc_id").distinct().withColumn("known", F.lit(True))
-    mapped = table(spark, folder, "labels").groupBy("doc_id").agg(F.count("*").alias("n"))
-    state = (F.when(F.col("known").isNull(), "unknown").when(F.col("n").isNull(), "pending").when(F.col("n") > 1, "repeated").otherwise("placed"))
-    return docs.join(mapped, "doc_id", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("ids"))
-
-
-CENSUS_SQL = """
-WITH m AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), d AS (SELECT DISTINCT doc_id FROM documents)
-SELECT CASE WHEN d.doc_id IS NULL THEN 'unknown' WHEN n IS NULL THEN 'pending' WHEN n > 1 THEN 'repeated' ELSE 'placed' END AS state, count(*) AS ids
-FROM d FULL JOIN m ON m.doc_id = d.doc_id GROUP BY 1"""
-
-
 def shared_bodies(spark, folder):
     """Texts that more than one source claims: inventories should share none."""
     return table(spark, folder, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(
@@ -97,16 +83,6 @@ def complete_pages(spark, folder):
 PAGES_SQL = "SELECT conv_id, max(turn) AS last, count(*) AS held, count(DISTINCT turn) = max(turn) + 1 AS complete FROM conversations GROUP BY conv_id"
 
 
-def verdict_agreement(spark, folder):
-    """Stated quality against the marks found in the text."""
-    marks = F.regexp_count("text", F.lit(r"[#*$%&|]{3}"))
-    rows = table(spark, folder, "documents").select("doc_id", marks.alias("marks")).join(table(spark, folder, "labels"), "doc_id")
-    return rows.groupBy("quality", (F.col("marks") > 0).alias("found")).agg(F.count("*").alias("n"))
-
-
-VERDICT_SQL = """SELECT quality, len(regexp_extract_all(text, '[#*$%&|]{3}')) > 0 AS found, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL"""
-
-
 def role_audit(spark, folder):
     """Conversations in which a role speaks out of turn: users on even turns, assistants on odd."""
     rows = table(spark, folder, "conversations").select("conv_id", F.expr(
@@ -183,12 +159,10 @@ RECEIPT_SQL = "SELECT l_orderkey, max(l_linestatus) = 'F' AS accepted FROM linei
 QUERIES = {
     "approved_terms": Query(approved_terms, APPROVED_SQL, "TRM-1"),
     "brief_sources": Query(brief_sources, SOURCES_SQL, "TRM-9"),
-    "census_audit": Query(census_audit, CENSUS_SQL, "REC-4"),
     "shared_bodies": Query(shared_bodies, SHARED_SQL, "REC-5"),
     "allowed_parents": Query(allowed_parents, PARENTS_SQL, "REC-9"),
     "nation_scopes": Query(nation_scopes, SCOPES_SQL, "REC-11"),
     "complete_pages": Query(complete_pages, PAGES_SQL, "REC-15"),
-    "verdict_agreement": Query(verdict_agreement, VERDICT_SQL, "REC-17"),
     "role_audit": Query(role_audit, ROLE_SQL, "REC-18"),
     "category_inventory": Query(category_inventory, INVENTORY_SQL, "REC-24"),
     "licence_audit": Query(licence_audit, LICENCE_SQL, "REC-25"),

@@ -28,6 +28,15 @@ IDLE_SQL = f"""SELECT user_id, strftime(min(ts), {FORMAT}) AS started, strftime(
 FROM {S} GROUP BY user_id, k"""
 
 
+def session_deadlines(spark, folder):
+    found = runs.deadlines(runs.idle_sessions(_events(spark, folder), "6 hours"), "6 hours", "4 hours")
+    return found.groupBy("user_id", "reason").agg(F.count("*").alias("sessions"))
+
+
+DEADLINE_SQL = f"""SELECT user_id, CASE WHEN b - a > INTERVAL 4 HOUR THEN 'wall' ELSE 'idle' END AS reason, count(*) AS sessions
+FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM {S} GROUP BY user_id, k) GROUP BY ALL"""
+
+
 def run_deadlines(spark, folder):
     """Runs that end a day after their last event or thirty hours after their first, whichever comes first."""
     return _plain(runs.wall_runs(_events(spark, folder), "24 hours", "30 hours"), "started", "ended")
@@ -98,6 +107,7 @@ SELECT user_id, count(*) AS breaks, max(highest) AS highest FROM t WHERE o_order
 
 QUERIES = {
     "idle_sessions": Query(idle_sessions, IDLE_SQL, "STR-1"),
+    "session_deadlines": Query(session_deadlines, DEADLINE_SQL, "STR-1"),
     "run_deadlines": Query(run_deadlines, RUNS_SQL, "STR-2"),
     "output_budget": Query(output_budget, BUDGET_SQL, "STR-3"),
     "severe_events": Query(severe_events, SEVERE_SQL, "STR-4"),

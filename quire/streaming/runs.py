@@ -29,6 +29,12 @@ def idle_sessions(events: DataFrame, gap: str, late: str | None = None) -> DataF
         "user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
 
+def deadlines(sessions: DataFrame, gap: str, wall: str) -> DataFrame:
+    """Whether the events of each idle session span more than a wall time; nothing ends at it, see ``wall_runs``."""
+    last = F.col("ended") - F.expr(f"interval {gap}")
+    return sessions.withColumn("reason", F.when(last - F.col("started") > F.expr(f"interval {wall}"), "wall").otherwise("idle"))
+
+
 def byte_budget(events: DataFrame, size: Column, most: int) -> DataFrame:
     """Batch form: each user's first event at which the running size exceeds the budget."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
