@@ -222,7 +222,7 @@ n AS (SELECT page_id, ref, CASE WHEN NOT regexp_matches(ref, '^(?:[A-Za-z][A-Za-
 m AS (SELECT page_id, ref, CASE WHEN parts[1] = '/' THEN '/' || array_to_string(parts[2:], '/') END AS path FROM n),
 f AS (SELECT DISTINCT '/' || array_to_string(parts[2:], '/') AS file FROM (SELECT {_NORMAL.format("regexp_extract(html, '<title>([^ <]+)', 1) || CASE WHEN contains(url, '?') THEN '.html' WHEN contains(url, '#') THEN '.htm' WHEN ends_with(url, '/') THEN '.txt' ELSE '' END")} AS parts FROM pages)),
 h AS (SELECT path, count(*) AS n, min_by(file, length(file)) AS file FROM (SELECT DISTINCT path FROM m) JOIN f ON file = path
-    OR NOT regexp_matches(path, '[^/]\.[^./]+$') AND file IN (path || '.html', path || '.htm', path || '.txt') GROUP BY path),
+    OR NOT regexp_matches(path, '[^/][.][^./]+$') AND file IN (path || '.html', path || '.htm', path || '.txt') GROUP BY path),
 s AS (SELECT page_id, ref, m.path, CASE WHEN m.path IS NULL THEN 'refused' WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state,
     CASE WHEN n = 1 THEN file END AS file FROM m LEFT JOIN h ON h.path = m.path)"""
 ADMITTED_SQL = f"WITH {A} SELECT * FROM s"
