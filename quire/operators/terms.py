@@ -99,17 +99,29 @@ def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame
     bits, longest = _bitmap(index)
     words = regex.compile(word)
 
-    def runs(low: str) -> Iterator[tuple[str, int, int, str]]:
+    widest = max((w for k, w in longest if k == "runs"), default=0)
+    wanted = {w for k, w in longest if k == "runs"}
+
+    def likely(code: int, width: int) -> int:
+        slot = _slot(code, "runs", width)
+        return bits[slot >> 3] >> (slot & 7) & 1
+
+    def runs(low: str) -> Iterator[tuple[str, int, int, bytes]]:
         found = [(m.start(), m[0].encode()) for m in words.finditer(low)]
-        for i, (start, _) in enumerate(found):
-            code, joined = 0, b""
-            for width in range(1, min(WIDEST, len(found) - i) + 1):
-                part = found[i + width - 1][1] if width == 1 else b"\0" + found[i + width - 1][1]
+        known: dict[bytes, tuple[int, int]] = {}  # checksum and answer of each different token
+        for i, (start, first) in enumerate(found):
+            if first not in known:
+                code = zlib.crc32(first)
+                known[first] = code, 1 in wanted and likely(code, 1)
+            code, hit = known[first]
+            if hit:
+                yield "runs", 1, start, first
+            joined = first
+            for width in range(2, min(widest, len(found) - i) + 1):
+                part = b"\0" + found[i + width - 1][1]
                 code, joined = zlib.crc32(part, code), joined + part
-                if ("runs", width) in longest:
-                    slot = _slot(code, "runs", width)
-                    if bits[slot >> 3] >> (slot & 7) & 1:
-                        yield "runs", width, start, joined
+                if width in wanted and likely(code, width):
+                    yield "runs", width, start, joined
 
     def chars(low: str, width: int) -> Iterator[tuple[str, int, int, str]]:
         known: dict[str, bytes | None] = {}
@@ -126,7 +138,7 @@ def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 low, breaks = _lower(text or ""), None
-                found = [runs(low)] if any(k == "runs" for k, _ in longest) else []
+                found = [runs(low)] if widest else []
                 found += [chars(low, w) for k, w in longest if k == "chars"]
                 for kind, width, start, anchor in (x for part in found for x in part):
                     if breaks is None:
