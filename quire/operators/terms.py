@@ -3,12 +3,13 @@
 Terms are cut into tokens. Two classes meet the texts in different ways:
 
 - *runs*: a term that begins with a word meets the texts by the hash of its first one, two or three tokens, a
-  class for each width; what follows is verified at its place. Its neighbours must not be word characters.
-- *chars*: a term that holds CJK characters, begins with another sign, or can overlap itself meets them by its first
-  one or two characters. Terms with CJK characters have no boundaries.
+  class for each width; what follows is verified at its place. Its neighbours must not be word characters. A
+  pattern for words must be one class of characters, once or more.
+- *chars*: a term that holds CJK characters, begins with another sign, or can overlap itself meets them at any place by
+  a rolling hash of its first 16 characters, or of all if fewer. Terms with CJK characters have no boundaries.
 
-A bitmap of a fixed size over the hashes of all terms is tested where a text is read, so only runs that
-may be terms leave the task, with their place and as much text as a term of that class is long. The
+A bitmap of a fixed size over two slots of each term is tested where a text is read, so only places that
+may be terms leave the task, with as much text as a term of that class is long. The
 dictionary itself is joined, never broadcast by hand, and may be of any size.
 
 Hits of one term do not overlap: the leftmost one stands, as in a search from left to right, and the
@@ -19,8 +20,8 @@ count once, repeated rows of a document give repeated hits. Case is ignored by l
 from __future__ import annotations
 
 import bisect
-import hashlib
-import zlib
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +36,70 @@ from quire.operators.spans import resolve_overlaps
 # Word characters of any script, for Python and for Java.
 WORD = r"[\p{Alphabetic}\p{N}_]+"
 _WORD_CHAR = r"[\p{IsAlphabetic}\p{N}_]"
-WIDEST, SLOTS, _FLUSH = 3, 1 << 20, 20_000
+WIDEST, CHARS, SLOTS, _FLUSH = 3, 16, 1 << 22, 20_000
+_STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _HITS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("width", pa.int32()), ("hash", pa.int64()), ("start", pa.int32()),
                    ("lead", pa.int32()), ("near", pa.string()), ("line", pa.int32()), ("col", pa.int32())])
 
 
-def _hash(kind: str, width: int, anchor: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(anchor, digest_size=8, key=f"{kind}{width}".encode()).digest(), "little", signed=True)
+def _codes(low: str) -> np.ndarray:
+    """Code points; the final sigma of lower case depends on what follows and counts as the other one."""
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes[codes == 0x3C2] = 0x3C3
+    return codes
 
 
-def _slot(code: int, kind: str, width: int) -> int:
-    return (code * 2_654_435_761 + width + (17 if kind == "chars" else 0)) % SLOTS
+def _mixed(sums: np.ndarray, salt: int) -> np.ndarray:
+    sums = (sums + np.uint64(salt)) * np.uint64(_MIX)
+    return sums ^ sums >> np.uint64(32)
+
+
+def _char_hashes(codes: np.ndarray, widths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each width, the hash of the characters from every place on, put together from windows of doubled width."""
+    width, sums, step = 1, codes, _STEP
+    while len(sums) and width <= max(widths, default=0):
+        for wanted in widths & set(range(width, 2 * width)):
+            more = wanted - width
+            if more < len(sums):
+                yield wanted, _mixed(sums[:len(sums) - more] * np.uint64(_STEP) + sums[more:] if more else sums, wanted)
+        sums = sums[:-width] * np.uint64(step) + sums[width:]
+        width, step = 2 * width, step * step % (1 << 64)
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, widest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each width, the hash of as many tokens from every token on: sums of powers, moved to the token's start."""
+    if len(_powers[0]) <= len(codes):
+        for i, step in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            steps = np.full(2 * len(codes) + 1, step, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * _powers[0][:len(codes)], out=sums[1:])
+    one = _mixed((sums[ends] - sums[starts]) * _powers[1][starts], 0)
+    run = one
+    for width in range(1, min(widest, len(one)) + 1):
+        if width > 1:
+            run = run[:-1] * np.uint64(_STEP) + one[width - 1:]
+        yield width, _mixed(run, (1 << 32) + width)
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both slots of each hash."""
+    return (hashes % np.uint64(SLOTS)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64) % SLOTS
+
+
+@functools.cache
+def _members(word: str) -> np.ndarray:
+    """Whether each code point belongs to the class of ``word``."""
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
+    held = np.zeros(0x110000, bool)
+    for m in regex.finditer(word, every):
+        held[m.start():m.end()] = True
+    held[0xD800:0xE000] = False
+    return held
 
 
 def _lower(text: str) -> str:
@@ -55,8 +109,8 @@ def _lower(text: str) -> str:
 
 
 def indexed(terms: DataFrame, column: str = "term", word: str = WORD) -> DataFrame:
-    """``key, kind, width, hash, slot, size, bounded, loops`` of each distinct term in lower case."""
-    shape = pa.schema([("key", pa.string()), ("kind", pa.string()), ("width", pa.int32()), ("hash", pa.int64()), ("slot", pa.int64()),
+    """``key, kind, width, hash, slots, size, bounded, loops`` of each distinct term in lower case."""
+    shape = pa.schema([("key", pa.string()), ("kind", pa.string()), ("width", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())),
                        ("size", pa.int64()), ("bounded", pa.bool_()), ("loops", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,25 +123,25 @@ def indexed(terms: DataFrame, column: str = "term", word: str = WORD) -> DataFra
                 # a suffix that begins a word and is a prefix lets a term overlap itself across a boundary
                 loops = any(key.startswith(key[a:]) for a, _ in found if a) or open_ and any(key.startswith(key[i:]) for i in range(1, len(key)))
                 if open_ or loops or not found or found[0][0]:
-                    kind, width, anchor = "chars", min(2, len(key)), key[:2]
-                    code = zlib.crc32(anchor.encode())
+                    kind, width = "chars", min(CHARS, len(key))
+                    hashes = next(_char_hashes(_codes(key[:width]), {width}))[1]
                     loops = any(key.startswith(key[i:]) for i in range(1, len(key)))
                 else:
                     kind, width = "runs", min(WIDEST, len(found))
-                    anchor = "\0".join(key[a:b] for a, b in found[:width])
-                    code = zlib.crc32(anchor.encode())
-                rows.append((key, kind, width, _hash(kind, width, anchor.encode()), _slot(code, kind, width), len(key), not open_, loops))
+                    starts, ends = np.array(found[:width]).T
+                    *_, (_, hashes) = _run_hashes(_codes(key), starts, ends, width)
+                rows.append((key, kind, width, int(hashes.view(np.int64)[0]), [int(x[0]) for x in _slots(hashes)], len(key), not open_, loops))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
     keys = terms.select(F.lower(F.col(column)).alias("key")).where("key is not null and trim(key) <> ''").distinct()
-    return keys.mapInArrow(run, "key string, kind string, width int, hash long, slot long, size long, bounded boolean, loops boolean")
+    return keys.mapInArrow(run, "key string, kind string, width int, hash long, slots array<long>, size long, bounded boolean, loops boolean")
 
 
 def _bitmap(index: DataFrame) -> tuple[bytes, dict[tuple[str, int], int]]:
     """The slots of all terms, ``SLOTS`` bits whatever their number, and the longest term of each class."""
     words = np.zeros(SLOTS // 64, np.int64)
-    for row in index.groupBy(F.shiftright("slot", 6).alias("w")).agg(
+    for row in index.select(F.explode("slots").alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b")).collect():
         words[row["w"]] = row["b"]
     longest = {(r["kind"], r["width"]): r["n"] for r in index.groupBy("kind", "width").agg(F.max("size").alias("n")).collect()}
@@ -97,59 +151,46 @@ def _bitmap(index: DataFrame) -> tuple[bytes, dict[tuple[str, int], int]]:
 def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame:
     """Places of ``docs(doc_id, text)`` that may begin a term: class, hash, offset, line, column and the text there."""
     bits, longest = _bitmap(index)
-    words = regex.compile(word)
-
-    widest = max((w for k, w in longest if k == "runs"), default=0)
-    wanted = {w for k, w in longest if k == "runs"}
-
-    def likely(code: int, width: int) -> int:
-        slot = _slot(code, "runs", width)
-        return bits[slot >> 3] >> (slot & 7) & 1
-
-    def runs(low: str) -> Iterator[tuple[str, int, int, bytes]]:
-        found = [(m.start(), m[0].encode()) for m in words.finditer(low)]
-        known: dict[bytes, tuple[int, int]] = {}  # checksum and answer of each different token
-        for i, (start, first) in enumerate(found):
-            if first not in known:
-                code = zlib.crc32(first)
-                known[first] = code, 1 in wanted and likely(code, 1)
-            code, hit = known[first]
-            if hit:
-                yield "runs", 1, start, first
-            joined = first
-            for width in range(2, min(widest, len(found) - i) + 1):
-                part = b"\0" + found[i + width - 1][1]
-                code, joined = zlib.crc32(part, code), joined + part
-                if width in wanted and likely(code, width):
-                    yield "runs", width, start, joined
-
-    def chars(low: str, width: int) -> Iterator[tuple[str, int, int, str]]:
-        known: dict[str, bytes | None] = {}
-        for i in range(len(low) - width + 1):
-            anchor = low[i:i + width]
-            if anchor not in known:
-                slot = _slot(zlib.crc32(anchor.encode()), "chars", width)
-                known[anchor] = anchor.encode() if bits[slot >> 3] >> (slot & 7) & 1 else None
-            if known[anchor]:
-                yield "chars", width, i, known[anchor]
+    rolling, wanted = ({w for k, w in longest if k == kind} for kind in ("chars", "runs"))
+
+    def hashed(codes: np.ndarray, members: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray | None]]:
+        """Hashes of each class, and where they begin if not everywhere."""
+        if wanted:
+            inside = np.zeros(len(codes) + 2, np.int8)
+            inside[1:-1] = members[codes.astype(np.int64)]
+            turns = np.flatnonzero(np.diff(inside))
+            for width, hashes in _run_hashes(codes, turns[::2], turns[1::2], max(wanted)):
+                if width in wanted:
+                    yield "runs", width, hashes, turns[::2]
+        for width, hashes in _char_hashes(codes, rolling):
+            yield "chars", width, hashes, None
+
+    def likely(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+        a, b = _slots(hashes)
+        places = np.flatnonzero(table[a >> 3] >> (a & 7) & 1)
+        b = b[places]
+        return places[table[b >> 3] >> (b & 7) & 1 > 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        members, table = _members(word), np.frombuffer(bits, np.uint8)
         for batch in batches:
+            if not longest:
+                continue
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                low, breaks = _lower(text or ""), None
-                found = [runs(low)] if widest else []
-                found += [chars(low, w) for k, w in longest if k == "chars"]
-                for kind, width, start, anchor in (x for part in found for x in part):
-                    if breaks is None:
-                        breaks = [i for i, c in enumerate(text) if c == "\n"]
-                    line = bisect.bisect_left(breaks, start)
-                    lead = min(start, 1)
-                    rows.append((doc, kind, width, _hash(kind, width, anchor), start, lead, text[start - lead:start + longest[kind, width] + 1],
-                                 line + 1, start - (breaks[line - 1] if line else -1)))
-                    if len(rows) >= _FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HITS)], schema=_HITS)
-                        rows = []
+                breaks = None
+                for kind, width, hashes, starts in hashed(_codes(_lower(text or "")), members):
+                    places = likely(hashes, table)
+                    for start, code in zip((places if starts is None else starts[places]).tolist(), hashes.view(np.int64)[places].tolist()):
+                        if breaks is None:
+                            breaks = [m.start() for m in re.finditer("\n", text)]
+                        line = bisect.bisect_left(breaks, start)
+                        lead = min(start, 1)
+                        rows.append((doc, kind, width, code, start, lead, text[start - lead:start + longest[kind, width] + 1],
+                                     line + 1, start - (breaks[line - 1] if line else -1)))
+                        if len(rows) >= _FLUSH:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HITS)], schema=_HITS)
+                            rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HITS)], schema=_HITS)
 
@@ -160,12 +201,15 @@ def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame
 def phrases(docs: DataFrame, terms: DataFrame, column: str = "term", word: str = WORD) -> DataFrame:
     """``doc_id, key, start, end, token, line, col``: every hit of every term of ``terms(column)``."""
     index = indexed(terms, column, word)
-    body = F.expr("substr(near, lead + 1, size)")
-    met = candidates(docs, index, word).join(index.drop("slot"), ["kind", "width", "hash"]).withColumn("token", body).where(
-        F.lower("token") == F.col("key")).withColumns({"size": F.col("size").cast("int"), "end": (F.col("start") + F.col("size")).cast("int")})
-    free = met.where("not loops")
-    group = met.where("loops").withColumns({"of": F.struct("doc_id", "key"), "form_length": F.col("size"), "ord": F.lit(0)})
-    first = resolve_overlaps(group, "of").select(*met.columns)
+
+    def met(part: DataFrame) -> DataFrame:
+        return candidates(docs, part, word).join(part.drop("slots", "loops"), ["kind", "width", "hash"]).withColumn(
+            "token", F.expr("substr(near, lead + 1, size)")).where(F.lower("token") == F.col("key")).withColumns(
+            {"size": F.col("size").cast("int"), "end": (F.col("start") + F.col("size")).cast("int")})
+
+    free, group = met(index.where("not loops")), met(index.where("loops"))
+    ranked = group.withColumns({"of": F.struct("doc_id", "key"), "form_length": F.col("size"), "ord": F.lit(0)})
+    first = resolve_overlaps(ranked, "of").select(*group.columns)
     clear = lambda c: ~F.coalesce(c, F.lit("")).rlike(_WORD_CHAR)
     before, after = F.expr("substr(near, 1, lead)"), F.expr("substr(near, lead + size + 1, 1)")
     return free.unionByName(first).where(~F.col("bounded") | clear(before) & clear(after)).select(

@@ -69,3 +69,19 @@ def test_empty_sides(spark):
     assert terms.phrases(docs, none).count() == 0
     assert terms.phrases(docs.limit(0), spark.createDataFrame([("load",)], "term string")).count() == 0
     assert terms.occurrences(docs, spark.createDataFrame([("LOAD",), ("load balancer",)], "term string"), "[a-z]+").where("doc_id = 7").count() == 1
+
+
+def test_terms_that_overlap_themselves_leave_few_places(spark):
+    """A text with the first characters of such a term everywhere is no place of it."""
+    docs = spark.createDataFrame([(1, "it is i " * 500 + "it is of it"), (2, "it is of " * 300), (3, None), (4, "i t i"), (5, "x")], "doc_id long, text string")
+    index = terms.indexed(spark.createDataFrame([("it is of it",), ("i t i",)], "term string"))
+    assert {r.kind for r in index.collect()} == {"chars"}
+    assert terms.candidates(docs, index).count() <= 311
+    found = terms.phrases(docs, spark.createDataFrame([("it is of it",), ("i t i",)], "term string"))
+    assert found.where("doc_id = 1").count() == 1 and found.where("doc_id = 2").count() == len(list(search("it is of " * 300, "it is of it")))
+
+
+def test_final_sigma(spark):
+    docs = spark.createDataFrame([(1, "字ΔΟΣΑ 字ΔΟΣ"), (2, "ΟΔΟΣ οδος")], "doc_id long, text string")
+    found = terms.phrases(docs, spark.createDataFrame([("字ΔΟΣ",), ("ΟΔΟΣ",)], "term string"))
+    assert sorted((r.doc_id, r.start) for r in found.collect()) == [(1, 0), (1, 6), (2, 0), (2, 5)]
