@@ -6,7 +6,8 @@ Terms are cut into tokens. Two classes meet the texts in different ways:
   class for each width; what follows is verified at its place. Its neighbours must not be word characters. A
   pattern for words must be one class of characters, once or more.
 - *chars*: a term that holds CJK characters, begins with another sign, or can overlap itself meets them at any place by
-  a rolling hash of its first 16 characters, or of all if fewer. Terms with CJK characters have no boundaries.
+  the hash of
+  its first 16 characters, or of all if fewer, where the first 4 may be those of a term. Terms with CJK characters have no boundaries.
 
 A bitmap of a fixed size over two slots of each term is tested where a text is read, so only places that
 may be terms leave the task, with as much text as a term of that class is long. The
@@ -36,7 +37,7 @@ from quire.operators.spans import resolve_overlaps
 # Word characters of any script, for Python and for Java.
 WORD = r"[\p{Alphabetic}\p{N}_]+"
 _WORD_CHAR = r"[\p{IsAlphabetic}\p{N}_]"
-WIDEST, CHARS, SLOTS, _FLUSH = 3, 16, 1 << 22, 20_000
+WIDEST, GATE, CHARS, SLOTS, _FLUSH = 3, 4, 16, 1 << 22, 20_000
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _HITS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("width", pa.int32()), ("hash", pa.int64()), ("start", pa.int32()),
                    ("lead", pa.int32()), ("near", pa.string()), ("line", pa.int32()), ("col", pa.int32())])
@@ -54,23 +55,11 @@ def _mixed(sums: np.ndarray, salt: int) -> np.ndarray:
     return sums ^ sums >> np.uint64(32)
 
 
-def _char_hashes(codes: np.ndarray, widths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each width, the hash of the characters from every place on, put together from windows of doubled width."""
-    width, sums, step = 1, codes, _STEP
-    while len(sums) and width <= max(widths, default=0):
-        for wanted in widths & set(range(width, 2 * width)):
-            more = wanted - width
-            if more < len(sums):
-                yield wanted, _mixed(sums[:len(sums) - more] * np.uint64(_STEP) + sums[more:] if more else sums, wanted)
-        sums = sums[:-width] * np.uint64(step) + sums[width:]
-        width, step = 2 * width, step * step % (1 << 64)
-
-
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, widest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each width, the hash of as many tokens from every token on: sums of powers, moved to the token's start."""
+def _prefixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the characters before each place times powers, and what moves a span's sum to its start."""
     if len(_powers[0]) <= len(codes):
         for i, step in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
             steps = np.full(2 * len(codes) + 1, step, np.uint64)
@@ -78,7 +67,17 @@ def _run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, widest:
             _powers[i] = np.cumprod(steps)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes + np.uint64(1)) * _powers[0][:len(codes)], out=sums[1:])
-    one = _mixed((sums[ends] - sums[starts]) * _powers[1][starts], 0)
+    return sums, _powers[1]
+
+
+def _spans(prefixes: tuple[np.ndarray, np.ndarray], starts: np.ndarray | slice, ends: np.ndarray | slice, salt: int) -> np.ndarray:
+    """The hash of the characters of each span."""
+    sums, moved = prefixes
+    return _mixed((sums[ends] - sums[starts]) * moved[starts], salt)
+
+
+def _runs(one: np.ndarray, widest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each width, the hash of as many tokens from every token on."""
     run = one
     for width in range(1, min(widest, len(one)) + 1):
         if width > 1:
@@ -86,9 +85,12 @@ def _run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, widest:
         yield width, _mixed(run, (1 << 32) + width)
 
 
-def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both slots of each hash."""
-    return (hashes % np.uint64(SLOTS)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64) % SLOTS
+def _slot_a(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).view(np.int64)
+
+
+def _slot_b(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40) & np.uint64(SLOTS - 1)).view(np.int64)
 
 
 @functools.cache
@@ -124,13 +126,15 @@ def indexed(terms: DataFrame, column: str = "term", word: str = WORD) -> DataFra
                 loops = any(key.startswith(key[a:]) for a, _ in found if a) or open_ and any(key.startswith(key[i:]) for i in range(1, len(key)))
                 if open_ or loops or not found or found[0][0]:
                     kind, width = "chars", min(CHARS, len(key))
-                    hashes = next(_char_hashes(_codes(key[:width]), {width}))[1]
+                    text, first = _prefixes(_codes(key)), np.zeros(1, np.int64)
+                    hashes, gate = (_spans(text, first, first + n, n) for n in (width, min(GATE, width)))
                     loops = any(key.startswith(key[i:]) for i in range(1, len(key)))
                 else:
                     kind, width = "runs", min(WIDEST, len(found))
                     starts, ends = np.array(found[:width]).T
-                    *_, (_, hashes) = _run_hashes(_codes(key), starts, ends, width)
-                rows.append((key, kind, width, int(hashes.view(np.int64)[0]), [int(x[0]) for x in _slots(hashes)], len(key), not open_, loops))
+                    *_, (_, hashes) = _runs(_spans(_prefixes(_codes(key)), starts, ends, 0), width)
+                    gate = hashes
+                rows.append((key, kind, width, int(hashes.view(np.int64)[0]), [int(_slot_a(gate)[0]), int(_slot_b(hashes)[0])], len(key), not open_, loops))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
@@ -153,23 +157,27 @@ def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame
     bits, longest = _bitmap(index)
     rolling, wanted = ({w for k, w in longest if k == kind} for kind in ("chars", "runs"))
 
-    def hashed(codes: np.ndarray, members: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray | None]]:
-        """Hashes of each class, and where they begin if not everywhere."""
+    def places(codes: np.ndarray, members: np.ndarray, table: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+        """Of each class, the places that may begin a term, and their hashes."""
+        held = lambda slots: np.flatnonzero(table[slots >> 3] >> (slots & 7) & 1)
+        text = _prefixes(codes)
         if wanted:
             inside = np.zeros(len(codes) + 2, np.int8)
-            inside[1:-1] = members[codes.astype(np.int64)]
+            inside[1:-1] = members[codes.view(np.int64)]
             turns = np.flatnonzero(np.diff(inside))
-            for width, hashes in _run_hashes(codes, turns[::2], turns[1::2], max(wanted)):
+            for width, hashes in _runs(_spans(text, turns[::2], turns[1::2], 0), max(wanted)):
                 if width in wanted:
-                    yield "runs", width, hashes, turns[::2]
-        for width, hashes in _char_hashes(codes, rolling):
-            yield "chars", width, hashes, None
-
-    def likely(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        a, b = _slots(hashes)
-        places = np.flatnonzero(table[a >> 3] >> (a & 7) & 1)
-        b = b[places]
-        return places[table[b >> 3] >> (b & 7) & 1 > 0]
+                    at = held(_slot_a(hashes))
+                    at = at[held(_slot_b(hashes[at]))]
+                    yield "runs", width, turns[::2][at], hashes[at]
+        for gate in {min(GATE, w) for w in rolling}:
+            if gate <= len(codes):
+                at = held(_slot_a(_spans(text, slice(0, len(codes) - gate + 1), slice(gate, None), gate)))
+                for width in (w for w in rolling if min(GATE, w) == gate):
+                    fit = at[:np.searchsorted(at, len(codes) - width, "right")]
+                    hashes = _spans(text, fit, fit + width, width)
+                    kept = held(_slot_b(hashes))
+                    yield "chars", width, fit[kept], hashes[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -179,9 +187,8 @@ def candidates(docs: DataFrame, index: DataFrame, word: str = WORD) -> DataFrame
                 continue
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 breaks = None
-                for kind, width, hashes, starts in hashed(_codes(_lower(text or "")), members):
-                    places = likely(hashes, table)
-                    for start, code in zip((places if starts is None else starts[places]).tolist(), hashes.view(np.int64)[places].tolist()):
+                for kind, width, starts, hashes in places(_codes(_lower(text or "")), members, table):
+                    for start, code in zip(starts.tolist(), hashes.view(np.int64).tolist()):
                         if breaks is None:
                             breaks = [m.start() for m in re.finditer("\n", text)]
                         line = bisect.bisect_left(breaks, start)
