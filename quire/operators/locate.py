@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import let, running_max, running_sum
 from quire.functions.text import trimmed
 from quire.operators.scan import asof
+from quire.session import ensure_checkpoint_dir
 
 BACK = 20
 SHOWN = 60
@@ -30,6 +31,11 @@ def hit_offsets(text: Column, pattern: str, group: int = 0) -> Column:
     return _split_hits(text, pattern, group, located=False)
 
 
+def hit_places(text: Column, pattern: str) -> Column:
+    """Array of ``start, end`` for every match."""
+    return _split_hits(text, pattern, 0, located=False, near=False)
+
+
 def hit_array(text: Column, pattern: str, group: int = 0, context: bool = True) -> Column:
     """Array of located matches: start, end, token, line, col, before, after and, with ``context``,
     the excerpt, which costs more than all the rest.
@@ -42,7 +48,7 @@ def hit_array(text: Column, pattern: str, group: int = 0, context: bool = True)
     return _split_hits(text, pattern, group, located=True, context=context)
 
 
-def _split_hits(text: Column, pattern: str, group: int, located: bool, context: bool = False) -> Column:
+def _split_hits(text: Column, pattern: str, group: int, located: bool, context: bool = False, near: bool = True) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     tokens = F.regexp_extract_all(text, F.lit(pattern), group) if group else matches
     gaps = F.split(text, pattern, -1)
@@ -60,9 +66,7 @@ def _split_hits(text: Column, pattern: str, group: int, located: bool, context:
                     lambda start: F.struct(
                         start.alias("start"),
                         (start + F.length(m)).alias("end"),
-                        F.get(p["t"], i).alias("token"),
-                        _previous(p, i).alias("before"),
-                        _following(p, i).alias("after"),
+                        *([F.get(p["t"], i).alias("token"), _previous(p, i).alias("before"), _following(p, i).alias("after")] if near else []),
                     ),
                 ))
             lines = running_sum(F.zip_with(
@@ -215,6 +219,11 @@ def provenance(hits: DataFrame, segments: DataFrame, key: str = "doc_id") -> Dat
 def translate_offsets(hits: DataFrame, offset_map: DataFrame, key: str = "doc_id",
                       back: bool = False) -> DataFrame:
     """Move offsets across a piecewise map; inside a mapped piece they clamp to its start."""
+    return _across(hits, offset_map, key, back).drop("a0", "a1", "b0", "b1")
+
+
+def _across(hits: DataFrame, offset_map: DataFrame, key: str, back: bool = False) -> DataFrame:
+    """``translated`` and the piece at or before each offset."""
     a, b = ("to", "from") if back else ("from", "to")
     pieces = offset_map.select(
         key,
@@ -229,7 +238,6 @@ def translate_offsets(hits: DataFrame, offset_map: DataFrame, key: str = "doc_id
             .when(F.col("start") < F.col("a1"), F.col("b0"))
             .otherwise(F.col("start") - F.col("a1") + F.col("b1")),
         )
-        .drop("a0", "a1", "b0", "b1")
     )
 
 
@@ -241,7 +249,7 @@ def replacement_map(docs: DataFrame, pattern: str, kept: int, key: str = "doc_id
             h["start"].alias("from_start"), h["end"].alias("from_end"), (h["start"] - F.get(gone, i)).alias("to_start"),
             (h["start"] - F.get(gone, i) + kept).alias("to_end"))))
 
-    return docs.select(key, F.explode(let(hit_offsets(F.col(text), pattern), pieces)).alias("p")).select(key, "p.*")
+    return docs.select(key, F.explode(let(hit_places(F.col(text), pattern), pieces)).alias("p")).select(key, "p.*")
 
 
 def compose_maps(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -251,20 +259,23 @@ def compose_maps(first: DataFrame, second: DataFrame, key: str = "doc_id") -> Da
     both, and between two neighbours the way is either a shift or stands still, inside a piece of either map. Where it stands
     still, and where a shift jumps, the new map has a piece. Pieces are ``from_start, from_end, to_start, to_end``,
     half-open and in order, and must not overlap within a map; a text with no piece in either has none. Null keys are keys.
+    Both maps and the breakpoints are met several times, so they are written once: texts are searched once for each map.
     """
+    ensure_checkpoint_dir(first.sparkSession)
+    shape = [key, "from_start", "from_end", "to_start", "to_end"]
+    first, second = first.select(*shape).checkpoint(), second.select(*shape).checkpoint()
     ends = lambda m: m.select(key, F.explode(F.array("from_start", "from_end")).alias("start"))
     back = translate_offsets(ends(second), first, key, back=True).select(key, F.col("translated").alias("start"))
     points = ends(first).unionByName(back).distinct()
 
     def moved(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
-        pieces = table.select(key, F.col("from_start").alias("_p0"), F.col("from_end").alias("_p1"), (F.col("to_end") == F.col("to_start")).alias("_e"))
-        held = asof(translate_offsets(rows, table, key), pieces, [key], "start", "_p0", ["_p0", "_p1", "_e"])
-        inside = F.coalesce(F.col("start") < F.col("_p1"), F.lit(False))
-        return held.withColumns({name: inside, f"{name}_empty": inside & F.col("_e")}).drop("_p0", "_p1", "_e")
+        held = _across(rows, table, key)
+        inside = F.coalesce(F.col("start") < F.col("a1"), F.lit(False))
+        return held.withColumns({name: inside, f"{name}_empty": inside & (F.col("b1") == F.col("b0"))}).drop("a0", "a1", "b0", "b1")
 
     once = moved(points, first, "still_a").withColumnsRenamed({"start": "raw", "translated": "start"})
     twice = moved(once, second, "still_b").select(
-        key, "raw", F.col("translated").alias("to"), (F.col("still_a") | F.col("still_b")).alias("still"), F.coalesce("still_a_empty", F.lit(False)).alias("gone"))
+        key, "raw", F.col("translated").alias("to"), (F.col("still_a") | F.col("still_b")).alias("still"), F.coalesce("still_a_empty", F.lit(False)).alias("gone")).checkpoint()
     order = Window.partitionBy(key).orderBy("raw")
     near = twice.select("*", F.lead(F.struct("raw", "to")).over(order).alias("n"), F.lag(F.struct("raw", "to", "still")).over(order).alias("b"))
     # where a shift would have led to, from the breakpoint before or from the start of the text
@@ -278,4 +289,4 @@ def compose_maps(first: DataFrame, second: DataFrame, key: str = "doc_id") -> Da
         "_own", F.when(F.col("raw") >= F.col("_first"), F.col("_first")).otherwise(F.col("raw")))
     last = F.struct("raw", F.coalesce("n.raw", "raw").alias("f"), F.coalesce("n.to", "to").alias("t"))
     still = whole.groupBy(key, "_own", "to").agg(F.max(last).alias("l")).select(key, *piece(F.col("_own"), F.col("l.f"), F.col("to"), F.col("l.t")))
-    return jumps.unionByName(still)
+    return jumps.unionByName(still).checkpoint()

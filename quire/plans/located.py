@@ -121,7 +121,7 @@ def composed_offsets(spark, folder):
     stripped = frame.withColumn("text", F.regexp_replace("text", MARKS, ""))
     final = stripped.withColumn("text", F.regexp_replace("text", BLANKS, " "))
     both = locate.compose_maps(locate.replacement_map(frame, MARKS, 0), locate.replacement_map(stripped, BLANKS, 1))
-    breaks = lambda f: locate.find_spans(f, "\n").select("doc_id", "start")
+    breaks = lambda f: f.select("doc_id", F.explode(locate.hit_places(F.col("text"), "\n")["start"]).alias("start"))
     there = locate.translate_offsets(breaks(frame), both).withColumn("way", F.lit("there"))
     back = locate.translate_offsets(breaks(final), both, back=True).withColumn("way", F.lit("back"))
     return there.unionByName(back).select("doc_id", "way", "start", "translated")

@@ -52,3 +52,9 @@ def test_every_offset(spark, first, second):
     assert locate.compose_maps(one.limit(0), two.limit(0)).count() == 0
     if second[1]:  # else neighbouring pieces become one
         assert {tuple(r) for r in locate.compose_maps(one.limit(0), two).where(F.col("from_end") > F.col("from_start")).collect()} == {m for m in maps[1]}
+
+
+def test_texts_are_searched_once_for_each_map(spark):
+    frame = spark.createDataFrame([(1, "axxb__x"), (2, None), (3, "")], "doc_id long, text string")
+    both = locate.compose_maps(locate.replacement_map(frame, "x+", 0), locate.replacement_map(frame, "_+", 1))
+    assert "regexp" not in both._jdf.queryExecution().optimizedPlan().toString()
