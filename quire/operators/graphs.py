@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from quire.session import ensure_checkpoint_dir
 
 
-def _plain(edges: DataFrame) -> DataFrame:
+def plain(edges: DataFrame) -> DataFrame:
+    """Each edge once, written: for ``components`` and ``cycles`` of the same edges with ``written``."""
     ensure_checkpoint_dir(edges.sparkSession)
     return edges.select("src", "dst").where("src is not null and dst is not null").distinct().checkpoint()
 
@@ -30,8 +31,9 @@ def trim(edges: DataFrame) -> DataFrame:
     again and again; none exactly if there is no cycle."""
     live, count = edges, edges.count()
     while count:
-        kept = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
+        # ends go before beginnings: leaves are most of a tree
+        inner = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = inner.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst").checkpoint()
         left = kept.count()
         if left == count:
             break
@@ -66,17 +68,19 @@ def reach(edges: DataFrame, roots: DataFrame, keys: tuple[str, ...] = ()) -> Dat
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, depth``: everything reachable from ``roots(node)`` and the fewest steps to it."""
-    return reach(edges, roots)
+    """``node, depth``: everything reachable from ``roots(node)`` and the fewest steps to it. Every round
+    reads the edges, so they are written first."""
+    return reach(plain(edges), roots)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written: bool = False) -> DataFrame:
     """``node, component``: every node on a cycle with the least node of its strongly connected component.
 
     Each round trims both ends, lets every node take the least node that reaches it, and walks back from
     these nodes among nodes of their own colour: what is reached both ways is a component and goes.
     """
-    live, found = trim(_plain(edges)), []
+    ensure_checkpoint_dir(edges.sparkSession)
+    live, found = trim(edges.select("src", "dst") if written else plain(edges)), []
     while not live.isEmpty():
         nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         colours = _spread(live, nodes.withColumn("colour", F.col("node")).checkpoint(), "colour")
@@ -103,10 +107,10 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return components(edges).select("node")
 
 
-def cycles(edges: DataFrame, parts: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, parts: DataFrame, written: bool = False) -> DataFrame:
     """``component, cycle``: of each component a shortest cycle through its least node, beginning there;
     of equal ones the one whose nodes, from the last, are least."""
-    inner = _plain(edges).join(parts.withColumnRenamed("node", "src"), "src").join(
+    inner = (edges if written else plain(edges)).join(parts.withColumnRenamed("node", "src"), "src").join(
         parts.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select(
         "component", "src", "dst").checkpoint()
     found = reach(inner, parts.where("node = component"), ("component",)).checkpoint()
@@ -136,7 +140,7 @@ def ordered_closure(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, Data
     """
     ensure_checkpoint_dir(edges.sparkSession)
     steps = edges.where("src is not null and dst is not null").groupBy("src", "dst", "ord").agg(F.lit(1).alias("_n")).drop("_n").checkpoint()
-    on_cycle = components(steps).select("node").checkpoint()
+    on_cycle = components(steps, written=True).select("node").checkpoint()
     back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     bad = reach(back, on_cycle).select(F.col("node").alias("root")).distinct().checkpoint()
     named = roots.select(F.col("node").alias("root")).where("root is not null").distinct().checkpoint()

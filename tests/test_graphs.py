@@ -93,3 +93,23 @@ def test_gate_sides(spark):
     gate = spark.createDataFrame([("a", False, 3, 31, 128), ("b", False, 3, 32, 1), ("c", False, 3, 3, 129), ("d", True, None, None, None)],
                                  "root string, cyclic boolean, sources long, deepest int, visits long")
     assert {r.root: r.state for r in graphs.closure_gate(gate, 32, 128).collect()} == {"a": "ok", "b": "too-deep", "c": "too-many", "d": "cycle"}
+
+
+def test_rounds_read_written_edges(spark):
+    """The table under the edges is read once, not in every round."""
+    table = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, 2), (None, 3)], "a long, b long")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = table.repartition(2).mapInArrow(count, "src long, dst long")
+    found = graphs.closure(edges, spark.createDataFrame([(0,)], "node long"))
+    assert {(r.node, r.depth) for r in found.collect()} == {(i, i) for i in range(7)} and read.value == 8
+    once = graphs.plain(edges)
+    read.value = 0
+    parts = graphs.components(once, written=True)
+    assert {r.node for r in parts.collect()} == set(range(2, 7))
+    assert [list(r.cycle) for r in graphs.cycles(once, parts, written=True).collect()] == [[2, 3, 4, 5, 6]] and read.value == 0
