@@ -351,8 +351,8 @@ CYCLIC_SQL = f"WITH RECURSIVE {C} SELECT node, component FROM c"
 
 def part_cycles(spark, folder):
     """A shortest cycle through the least part of each component."""
-    edges = _part_edges(spark, folder).checkpoint()
-    found = graphs.cycles(edges, graphs.components(edges))
+    edges = graphs.plain(_part_edges(spark, folder))
+    found = graphs.cycles(edges, graphs.components(edges, written=True), written=True)
     return found.select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
 
 
