@@ -2,7 +2,8 @@
 
 Edges are ``src, dst``; edges with a null end are no edges, repeated edges count once, and a node's edge to
 itself is a cycle. A round is a join on a node and a sum per node, so a node with very many edges is
-pre-aggregated on the side of the messages and split by the adaptive join on the side of the edges.
+pre-aggregated on the side of the messages and split on the side of the edges, by the adaptive join or,
+where edges lie in buckets, into slots.
 Empty tables give empty results.
 """
 
@@ -13,7 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import ensure_checkpoint_dir
+from quire.session import bucketed, ensure_checkpoint_dir
+
+# Edges in one bucket of a written table, and steps after which a walk is taken to be on a cycle until that is checked.
+BUCKET, PROBE = 1_000_000, 8
 
 
 def plain(edges: DataFrame) -> DataFrame:
@@ -129,29 +133,79 @@ def cycles(edges: DataFrame, parts: DataFrame, written: bool = False) -> DataFra
             return _union(done)
 
 
+class _Steps:
+    """Edges ``src, dst, ord``, each once, written in buckets of their source; what goes one step on is moved to them. The
+    edges of a source with more than a bucket of them lie in several slots, and what stands at it is sent to each slot."""
+
+    def __init__(self, edges: DataFrame) -> None:
+        edges = edges.where("src is not null and dst is not null").select("src", "dst", "ord")
+        self.kind = edges.select(F.coalesce("src", "dst")).schema[0].dataType
+        seen = edges.select(F.xxhash64(F.col("src").cast(self.kind)).alias("h")).agg(
+            F.count("*").alias("n"), F.expr("approx_top_k(h, 1000, 10000)").alias("top")).first()
+        often = {r["item"]: r["count"] for r in seen.top or () if r["count"] > BUCKET}
+        self.hot, self.slots = list(often), -(-max(often.values(), default=0) // BUCKET)
+        self.keys = ["src", "slot"] if self.hot else ["src"]  # one slot for all would be taken for no key
+        conf = edges.sparkSession.conf
+        # fewer buckets than a shuffle has parts would be shuffled again
+        buckets = max(int(conf.get("spark.sql.shuffle.partitions")), -(-seen.n // BUCKET),
+                      int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")))
+        if self.hot:
+            spread = F.pmod(F.xxhash64("dst", "ord"), F.lit(self.slots)).cast("int")
+            edges = edges.withColumn("slot", F.when(self._often("src"), spread).otherwise(0))
+        once = edges.repartition(buckets, *self.keys).groupBy(*self.keys, "dst", "ord").agg(F.lit(1).alias("_n")).drop("_n")
+        self.rows = bucketed(once, buckets, *self.keys)
+
+    def _often(self, node: str):
+        return F.xxhash64(F.col(node).try_cast(self.kind)).isin(self.hot)
+
+    def after(self, front: DataFrame) -> DataFrame:
+        """Rows of ``front(node, ..)`` with each edge that leaves their node."""
+        at = front.withColumnRenamed("node", "src")
+        if self.hot:
+            slots = F.when(self._often("src"), F.sequence(F.lit(0), F.lit(self.slots - 1))).otherwise(F.array(F.lit(0)))
+            at = at.withColumn("slot", F.explode(slots))
+        return at.join(self.rows, self.keys)
+
+    def longest(self, nodes: DataFrame) -> int | None:
+        """Steps of the longest walk from ``nodes(node)``; none if it has more than ``PROBE``, as every walk on a cycle has."""
+        for steps in range(PROBE + 1):
+            nodes = self.after(nodes).select(F.col("dst").alias("node")).distinct().checkpoint()
+            if nodes.isEmpty():
+                return steps
+        return None
+
+
 def ordered_closure(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each root includes, as a depth-first reading of ``src, dst, ord`` would meet it.
 
     The first table has ``root, node, first, visits, depth``: the ordinals of the first way to the node, whose
     order is the order of first visits, how many ways lead there, and the steps of the shortest. A
     round carries for each root the nodes one step on, with their number of ways and the first of them,
-    so ways are counted and never listed. The second table has ``root, cyclic, sources, visits, deepest``: a root
-    that reaches a cycle is refused and has nothing but itself. Limits are for the caller to judge; nothing is cut.
+    so ways are counted and never listed; the edges stay where they are written. Walks that end within a few steps
+    meet no cycle; only where one does not, nodes that reach a cycle are looked for. The second table has ``root, cyclic,
+    sources, visits, deepest``: a root that reaches a cycle is refused and has nothing but itself. Limits are for the
+    caller to judge; nothing is cut.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    steps = edges.where("src is not null and dst is not null").groupBy("src", "dst", "ord").agg(F.lit(1).alias("_n")).drop("_n").checkpoint()
-    on_cycle = components(steps, written=True).select("node").checkpoint()
-    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    bad = reach(back, on_cycle).select(F.col("node").alias("root")).distinct().checkpoint()
+    steps = _Steps(edges)
     named = roots.select(F.col("node").alias("root")).where("root is not null").distinct().checkpoint()
+    longest = steps.longest(named.withColumnRenamed("root", "node"))
+    bad = named.limit(0)
+    if longest is None:
+        on_cycle = components(steps.rows, written=True).select("node").checkpoint()
+        back = steps.rows.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+        bad = reach(back, on_cycle).select(F.col("node").alias("root")).distinct().checkpoint()
     one = F.lit(1).cast("decimal(38,0)")
     front = named.join(bad, "root", "left_anti").select(
         "root", F.col("root").alias("node"), F.array().cast("array<bigint>").alias("first"), one.alias("ways"), F.lit(0).alias("depth")).checkpoint()
     levels = [front]
-    while not front.isEmpty():
-        front = front.withColumnRenamed("node", "src").join(steps, "src").groupBy("root", F.col("dst").alias("node")).agg(
-            F.min(F.concat("first", F.array(F.col("ord").cast("bigint")))).alias("first"), F.sum("ways").cast("decimal(38,0)").alias("ways"),
-            F.lit(len(levels)).alias("depth")).checkpoint()
+    while len(levels) <= longest if longest is not None else not front.isEmpty():
+        sent = steps.after(front).select(
+            "root", F.col("dst").alias("node"), F.concat("first", F.array(F.col("ord").cast("bigint"))).alias("first"), "ways",
+            F.lit(len(levels)).alias("depth"))
+        # the last step is summed with the rest
+        front = sent if len(levels) == longest else sent.groupBy("root", "node").agg(
+            F.min("first").alias("first"), F.sum("ways").cast("decimal(38,0)").alias("ways"), F.min("depth").alias("depth")).checkpoint()
         levels.append(front)
     every = _union(levels)
     found = every.groupBy("root", "node").agg(

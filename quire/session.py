@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """A table written to the shared folder in buckets of its keys. A join on them reads it as it lies and moves
+    only the other side; the catalogue keeps no entry of it."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path, entry = f"{spark.sparkContext.getCheckpointDir()}/{name}", f"spark_catalog.default.{name}"
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # its files lie outside the warehouse and stay
+    return out
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One supplied table, kept columnar so that pruning and pushdown reach the scan."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

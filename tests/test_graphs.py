@@ -1,6 +1,7 @@
 """Components, cycles and closures against walks over small graphs."""
 
 import random
+import time
 
 import pytest
 
@@ -89,6 +90,54 @@ def test_ordered_closure(spark):
     assert states[5000] == "ok" and states[24] == "ok"
 
 
+def shuffled(spark, action):
+    """Bytes that an action shuffles."""
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    spark.range(1).count()
+    before = total()
+    action()
+    time.sleep(0.5)
+    spark.range(1).count()  # the store is written again when a task ends
+    return total() - before
+
+
+def tree(spark):
+    """Edges from a root to 40 folders, their 1,600 files and 24 lines of each, and the root."""
+    rows = [("r", f"d{i}", i) for i in range(40)] + [(f"d{i % 40}", f"f{i}", i) for i in range(1600)]
+    rows += [(f"f{i % 1600}", f"l{i * 7919 % 7000}", i) for i in range(38400)]
+    return spark.createDataFrame(rows, "src string, dst string, ord long").repartition(3).localCheckpoint(), spark.createDataFrame([("r",)], "node string")
+
+
+def test_edges_are_moved_once(spark):
+    edges, roots = tree(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        once = shuffled(spark, lambda: edges.repartition(8, "src").foreach(lambda r: None))
+        contents = shuffled(spark, lambda: graphs.ordered_closure(edges, roots)[0].write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert once > 100_000 and contents < 4 * once, (contents, once)
+
+
+def test_sources_with_many_edges(spark, monkeypatch):
+    """Edges of such a source lie in several buckets; long walks are checked for cycles first."""
+    monkeypatch.setattr(graphs, "BUCKET", 3)
+    by = {0: [(i, 1 + i % 9) for i in range(1, 25)], **{i: [(1, 30), (2, 31)] for i in range(1, 10)},
+          30: [(i, 40 + i) for i in range(1, 8)], **{n: [(1, n + 1)] for n in range(41, 60)}}
+    rows = [(a, b, o) for a, outs in by.items() for o, b in outs] + [(70, 71, 1), (71, 70, 1), *[(71, 80 + i, i) for i in range(9)]]
+    frame = spark.createDataFrame([*rows, *rows[:9], (None, 1, 1), (0, None, 2)], "src long, dst long, ord int").repartition(5)
+    found, gate = graphs.ordered_closure(frame, spark.createDataFrame([(0,), (30,), (70,), (4,)], "node int"))
+    out, gates = found.collect(), {r.root: r for r in gate.collect()}
+    assert gates[70].cyclic and not any(r.root == 70 for r in out)
+    for root in (0, 30, 4):
+        _, ways = read(by, root)
+        own = [r for r in out if r.root == root]
+        assert {r.node: int(r.visits) for r in own} == ways and len(own) == gates[root].sources
+        assert int(gates[root].visits) == sum(ways.values()) and not gates[root].cyclic
+    assert graphs._Steps(frame).slots > 1 and spark.sql("show tables").count() == 0
+
+
 def test_gate_sides(spark):
     gate = spark.createDataFrame([("a", False, 3, 31, 128), ("b", False, 3, 32, 1), ("c", False, 3, 3, 129), ("d", True, None, None, None)],
                                  "root string, cyclic boolean, sources long, deepest int, visits long")
