@@ -120,6 +120,20 @@ def test_edges_are_moved_once(spark):
     assert once > 100_000 and contents < 4 * once, (contents, once)
 
 
+def test_gate_moves_edges_once(spark):
+    edges, roots = tree(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = shuffled(spark, lambda: edges.repartition(8, "src").foreach(lambda r: None))
+        rows = []
+        gate = shuffled(spark, lambda: rows.extend(graphs.closure_gate(graphs.ordered_closure(edges, roots)[1], 32, 128).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert once > 100_000 and gate < 3 * once, (gate, once)
+    assert [(r.root, r.cyclic, r.sources, int(r.visits), r.deepest, r.state) for r in rows] == [("r", False, 8641, 40041, 3, "too-many")]
+
+
 def test_sources_with_many_edges(spark, monkeypatch):
     """Edges of such a source lie in several buckets; long walks are checked for cycles first."""
     monkeypatch.setattr(graphs, "BUCKET", 3)
